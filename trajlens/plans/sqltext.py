@@ -25,6 +25,28 @@ B1A = """b1a AS (
          event_type IN ('view', 'click') AS is_read, event_type IN ('purchase', 'signup') AS is_write
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events))"""
 
+def b1t(session: str = "user_id") -> str:
+    return b1(session) + """,
+bt AS (
+  SELECT *, CASE WHEN type = 'tool_call' THEN CASE event_type WHEN 'view' THEN 'read_file' WHEN 'click' THEN 'bash'
+              WHEN 'purchase' THEN 'edit_file' WHEN 'error' THEN 'pytest' END END AS tool,
+         'i' || (k % 2) AS input_hash, 'o' || (k % 6) AS output_hash,
+         CASE WHEN type = 'reasoning' THEN 'I will ' || CASE k % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'test' ELSE 'write' END
+                   || ' f' || (k % 7)
+              WHEN type = 'user_input' THEN CASE WHEN k % 50 = 0 THEN 'tests pass, looks good' ELSE 'next please' END
+         END AS goal_text, k AS tokens_in, CAST(floor(value) AS BIGINT) AS tokens_out
+  FROM (SELECT *, CASE WHEN k % 25 = 0 THEN 'user_input' WHEN event_type = 'signup' THEN 'reasoning'
+               ELSE 'tool_call' END AS type FROM b1)),
+bp AS (
+  SELECT *, CASE WHEN type = 'reasoning' THEN 2 WHEN tool = 'pytest' THEN 4 WHEN tool IN ('bash', 'edit_file') THEN 3
+                 WHEN tool = 'read_file' THEN 1 ELSE 2 END AS class_rank,
+         coalesce(tool IN ('bash', 'edit_file', 'pytest'), false) AS strong FROM bt),
+bc AS (SELECT *, CASE WHEN step = 1 OR strong
+         OR class_rank = lag(class_rank) OVER (PARTITION BY session_id ORDER BY step) THEN class_rank END AS commit_rank FROM bp),
+bh AS (SELECT *, last_value(commit_rank IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY step) AS phase_rank FROM bc),
+bm AS (SELECT *, coalesce(lag(phase_rank) OVER (PARTITION BY session_id ORDER BY step), 0) AS from_rank FROM bh)"""
+
+
 B2 = b1() + """,
 b2 AS (
   SELECT session_id, step * 2 - 1 AS turn, 'ai' AS role,

@@ -69,12 +69,17 @@ def with_phase(ev: Ordered) -> Ordered:
     return ev.with_columns(phase=lookup(F.col("event_type"), PHASE_OF_EVENT))
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a wall-clock time, whatever the session time zone."""
+    return F.expr(f"(datediff({ts}, date'1970-01-01') * 86400L + hour({ts}) * 3600 + minute({ts}) * 60) * 1000000L"
+                  f" + cast(extract(second from {ts}) * 1000000 as bigint)")
+
+
 def with_seconds(ev: Ordered) -> Ordered:
     """Adds ``timestamp``: seconds since the first event of the session."""
-    micros = F.unix_micros("ts")
-    started = ev.running(_start=("min", micros))
+    started = ev.with_columns(_at=micros("ts")).running(_start=("min", F.col("_at")))
     return started.on(started.df.withColumn(
-        "timestamp", (micros - F.col("_start")) / 1e6).drop("_start"))
+        "timestamp", (F.col("_at") - F.col("_start")) / 1e6).drop("_start", "_at"))
 
 
 def turns(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> Ordered:
@@ -93,6 +98,27 @@ def turns(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> Ord
     return Ordered(df, ("session_id",), "turn", ev.longest * 2, chunk_rows)
 
 
+def trace_events(spark: SparkSession, sf_dir: str, session: Column | None = None,
+                 chunk_rows: int = CHUNK_ROWS) -> Ordered:
+    """Events in the full trace form the detectors read."""
+    ev = events(spark, sf_dir, session, chunk_rows)
+    kind = (F.when(F.col("k") % 25 == 0, "user_input").when(F.col("event_type") == "signup", "reasoning")
+            .otherwise("tool_call"))
+    intent = F.when(F.col("k") % 3 == 0, "read").when(F.col("k") % 3 == 1, "test").otherwise("write")
+    said = F.when(F.col("k") % 50 == 0, "tests pass, looks good").otherwise("next please")
+    tools = {"view": "read_file", "click": "bash", "purchase": "edit_file", "error": "pytest"}
+    df = ev.df.withColumn("type", kind).withColumns({
+        "tool": F.when(F.col("type") == "tool_call", lookup(F.col("event_type"), tools)),
+        "input_hash": F.concat(F.lit("i"), (F.col("k") % 2).cast("string")),
+        "output_hash": F.concat(F.lit("o"), (F.col("k") % 6).cast("string")),
+        "goal_text": F.when(F.col("type") == "reasoning", F.concat(
+            F.lit("I will "), intent, F.lit(" f"), (F.col("k") % 7).cast("string")))
+        .when(F.col("type") == "user_input", said),
+        "tokens_in": F.col("k"), "tokens_out": F.floor("value"),
+    })
+    return ev.on(df)
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> Ordered:
     conv = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), "role", "text")
