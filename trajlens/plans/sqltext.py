@@ -66,3 +66,12 @@ B6 = """b6 AS (
   SELECT user_id % 40 AS session_id, event_type AS rater, k % 5 AS dimension, 1 + k % 5 AS value,
          k % 4 AS confidence, ts, event_id
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events))"""
+
+LR = """lr0 AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
+lr AS (SELECT CASE WHEN k % 3 = 0 THEN lpad(CAST(user_id AS VARCHAR), 8, '0') ELSE lpad(CAST(user_id AS VARCHAR), 8, '0') || '-full' END AS session_id,
+    annotator_type, 'a' || (k % 4) AS annotator_id,
+    CASE annotator_type WHEN 'detector' THEN 'unlabeled' WHEN 'auto' THEN 'auto_labeled' WHEN 'human' THEN 'human_reviewed' ELSE 'adjudicated' END AS label_status,
+    k % 4 <> 0 AS has_failure, (['2.1', '2.2', '4.2', '4.4', '5.4', ''])[k % 6 + 1] AS code, k AS onset_step, k % 6 AS severity,
+    (k // 2) % 6 AS confidence, k % 5 = 0 AS is_latent, ts AS updated_at, event_id AS seq, user_id
+  FROM (SELECT *, CASE WHEN event_type = 'click' THEN 'auto' WHEN event_type = 'signup' THEN 'human'
+     WHEN event_type = 'purchase' AND k % 10 = 0 THEN 'adjudicated' WHEN event_type = 'purchase' THEN 'human' ELSE 'detector' END AS annotator_type FROM lr0))"""

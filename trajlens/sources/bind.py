@@ -131,3 +131,24 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 40).alias("session_id"), F.col("event_type").alias("rater"),
         (F.col("k") % 5).alias("dimension"), (1 + F.col("k") % 5).alias("value"),
         (F.col("k") % 4).alias("confidence"), "ts", "event_id")
+
+
+CODES = ("2.1", "2.2", "4.2", "4.4", "5.4", "")
+
+
+def label_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label ledger in four layers; one id in three is a bare prefix."""
+    ev = raw_events(spark, sf_dir)
+    short = F.lpad(F.col("user_id").cast("string"), 8, "0")
+    layer = (F.when(F.col("event_type") == "click", "auto").when(F.col("event_type") == "signup", "human")
+             .when((F.col("event_type") == "purchase") & (F.col("k") % 10 == 0), "adjudicated")
+             .when(F.col("event_type") == "purchase", "human").otherwise("detector"))
+    status = {"detector": "unlabeled", "auto": "auto_labeled", "human": "human_reviewed", "adjudicated": "adjudicated"}
+    return ev.select(
+        F.when(F.col("k") % 3 == 0, short).otherwise(F.concat(short, F.lit("-full"))).alias("session_id"),
+        layer.alias("annotator_type"), F.concat(F.lit("a"), (F.col("k") % 4).cast("string")).alias("annotator_id"),
+        lookup(layer, status).alias("label_status"), (F.col("k") % 4 != 0).alias("has_failure"),
+        F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.col("k") % 6 + 1).cast("int")).alias("code"),
+        F.col("k").alias("onset_step"), (F.col("k") % 6).alias("severity"),
+        (F.floor(F.col("k") / 2) % 6).alias("confidence"), (F.col("k") % 5 == 0).alias("is_latent"),
+        F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"), "user_id")
