@@ -110,7 +110,7 @@ def verb_aligned(category: Column, thought: Column) -> Column:
 
 
 def word_set(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -120,7 +120,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def letter_share(text: Column) -> Column:
-    letters = F.length(F.regexp_replace(text, r"(?U)[^\p{IsAlphabetic}\s]", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]", ""))
     return letters / F.greatest(F.length(text), F.lit(1))
 
 
