@@ -159,3 +159,20 @@ def output_hash(given: Column, tool: Column, tokens_out: Column, success: Column
     flag = F.when(success, "True").otherwise("False")
     raw = F.concat_ws(":", F.coalesce(tool, F.lit("None")), tokens_out.cast("string"), flag)
     return F.coalesce(given, F.substring(F.md5(raw), 1, 8))
+
+
+# File categories in the order they are tried.
+PATH_CATEGORIES = {
+    "test": ("test", "spec", "conftest"),
+    "frontend": (".tsx", ".jsx", ".ts", ".js", ".css", ".html", "frontend", "src/component"),
+    "backend": (".py", "backend", "routes/", "main.py", "server.py"),
+    "config": ("docker", "compose", ".yml", ".yaml", "readme"),
+    "database": (".sql", "database", "migration")}
+
+
+def path_category(path: Column) -> Column:
+    low = F.lower(path)
+    chain = F.when(path.isNull() | (path == ""), "")
+    for name, words in PATH_CATEGORIES.items():
+        chain = chain.when(any_of(low, words), name)
+    return chain.otherwise("other")
