@@ -1,6 +1,6 @@
 """Run registered queries next to their SQL and compare the rows.
 
-    python -m tests.compare [--sf 0.01] [name ...]
+    python -m tests.compare [--sf 0.01] [--chunk rows] [name ...]
 """
 
 from __future__ import annotations
@@ -64,12 +64,19 @@ def difference(df, con, sql: str) -> str | None:
 
 def main(argv: list[str]) -> int:
     from trajlens.plans import ORACLES, QUERIES
+    from trajlens.sequence import CHUNK_SETTING
     from trajlens.session import build_session
 
-    sf = "0.01"
-    if argv[:1] == ["--sf"]:
-        sf, argv = argv[1], argv[2:]
+    sf, chunk = "0.01", None
+    while argv[:1] in (["--sf"], ["--chunk"]):
+        if argv[0] == "--sf":
+            sf = argv[1]
+        else:
+            chunk = argv[1]
+        argv = argv[2:]
     spark = build_session("compare", "local[8]")
+    if chunk:
+        spark.conf.set(CHUNK_SETTING, chunk)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(f"{ROOT}/sf{sf}")
     names = [n for n in QUERIES if not argv or any(n.startswith(a) for a in argv)]

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlens.sequence import CHUNK_ROWS, longest_group, number_rows
+from trajlens.sequence import chunk_limit, longest_group, number_rows
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+              chunk_rows: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group.
 
     Groups up to ``chunk_rows`` use the built-in aggregate, which keeps a group's
@@ -22,6 +22,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     grouped = list(keys)
     if not grouped:
         df, grouped = df.withColumn("_all", F.lit(1)), ["_all"]
+    chunk_rows = chunk_limit(df, chunk_rows)
     longest, _ = longest_group(df, grouped)
     if longest <= chunk_rows:
         out = df.groupBy(*grouped).agg(F.count("*").alias("n"), *[

@@ -20,11 +20,17 @@ from pyspark.sql import functions as F
 from trajlens.session import durable
 
 CHUNK_ROWS = 200_000
+CHUNK_SETTING = "spark.trajlens.chunkRows"
 
 # A column over the session window, or (extra partition columns, column over that window).
 Framed = Callable[[WindowSpec], Column] | tuple[tuple[str, ...], Callable[[WindowSpec], Column]]
 
 
+def chunk_limit(df: DataFrame, given: int | None = None) -> int:
+    """Rows of one session a task may hold: the argument, the session setting or the default."""
+    return given or int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_ROWS)))
+
+
 def longest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     """Rows in the largest group and in total; one aggregate with map-side combine."""
     row = (
@@ -38,7 +44,7 @@ def number_rows(
     keys: Sequence[str],
     order: Sequence[str],
     out: str = "step",
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> "Ordered":
     """Add the dense 1-based position of each row within its group.
 
@@ -48,6 +54,7 @@ def number_rows(
     The range assignment is written out first, so a lost executor cannot move a
     row to another range between the two passes.
     """
+    chunk_rows = chunk_limit(df, chunk_rows)
     longest, total = longest_group(df, keys)
     if longest <= chunk_rows:
         w = Window.partitionBy(*keys).orderBy(*order)
@@ -85,10 +92,10 @@ class Ordered:
 
     @staticmethod
     def of(df: DataFrame, keys: Sequence[str] = ("session_id",), order: str = "step",
-           chunk_rows: int = CHUNK_ROWS) -> "Ordered":
+           chunk_rows: int | None = None) -> "Ordered":
         """Wrap a table whose ``order`` is already dense and 1-based; reads its maximum."""
         longest = int(df.agg(F.max(order)).first()[0] or 0)
-        return Ordered(df, tuple(keys), order, longest, chunk_rows)
+        return Ordered(df, tuple(keys), order, longest, chunk_limit(df, chunk_rows))
 
     @property
     def split(self) -> bool:

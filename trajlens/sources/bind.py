@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlens.sequence import CHUNK_ROWS, Ordered, number_rows
+from trajlens.sequence import Ordered, number_rows
 
 PHASE_OF_EVENT = {"view": "gathering", "signup": "planning", "click": "executing",
                   "error": "verifying", "purchase": "delivering"}
@@ -36,7 +36,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str, session: Column | None = None,
-           chunk_rows: int = CHUNK_ROWS) -> Ordered:
+           chunk_rows: int | None = None) -> Ordered:
     """Trace events: one session per user unless ``session`` says otherwise."""
     session = F.col("user_id") if session is None else session
     ev = raw_events(spark, sf_dir).select(
@@ -48,12 +48,12 @@ def events(spark: SparkSession, sf_dir: str, session: Column | None = None,
     return number_rows(ev, ["session_id"], ["ts", "event_id"], chunk_rows=chunk_rows)
 
 
-def long_events(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> Ordered:
+def long_events(spark: SparkSession, sf_dir: str, chunk_rows: int | None = None) -> Ordered:
     """Fifteen long sessions, so that calibration windows of 100 events close."""
     return events(spark, sf_dir, F.col("user_id") % 15, chunk_rows)
 
 
-def agent_events(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> Ordered:
+def agent_events(spark: SparkSession, sf_dir: str, chunk_rows: int | None = None) -> Ordered:
     """One global stream of interleaved agents touching shared resources."""
     ev = raw_events(spark, sf_dir).select(
         F.lit("all").alias("session_id"), "event_id", "ts",
@@ -82,7 +82,7 @@ def with_seconds(ev: Ordered) -> Ordered:
         "timestamp", (F.col("_at") - F.col("_start")) / 1e6).drop("_start", "_at"))
 
 
-def turns(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> Ordered:
+def turns(spark: SparkSession, sf_dir: str, chunk_rows: int | None = None) -> Ordered:
     """Two chat turns per event: an action turn with a fenced block, then its outcome."""
     ev = events(spark, sf_dir, chunk_rows=chunk_rows)
     verb = lookup(F.col("event_type"), VERB_OF_EVENT)
@@ -95,11 +95,11 @@ def turns(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> Ord
         F.struct((F.col("step") * 2 - 1).alias("turn"), F.lit("ai").alias("role"), action.alias("text")),
         F.struct((F.col("step") * 2).alias("turn"), F.lit("user").alias("role"), outcome.alias("text")))
     df = ev.df.select("session_id", F.inline(pair))
-    return Ordered(df, ("session_id",), "turn", ev.longest * 2, chunk_rows)
+    return Ordered(df, ("session_id",), "turn", ev.longest * 2, ev.chunk_rows)
 
 
 def trace_events(spark: SparkSession, sf_dir: str, session: Column | None = None,
-                 chunk_rows: int = CHUNK_ROWS) -> Ordered:
+                 chunk_rows: int | None = None) -> Ordered:
     """Events in the full trace form the detectors read."""
     ev = events(spark, sf_dir, session, chunk_rows)
     kind = (F.when(F.col("k") % 25 == 0, "user_input").when(F.col("event_type") == "signup", "reasoning")
@@ -119,7 +119,7 @@ def trace_events(spark: SparkSession, sf_dir: str, session: Column | None = None
     return ev.on(df)
 
 
-def conversation_turns(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> Ordered:
+def conversation_turns(spark: SparkSession, sf_dir: str, chunk_rows: int | None = None) -> Ordered:
     conv = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), "role", "text")
     return number_rows(conv, ["session_id"], ["at"], out="turn", chunk_rows=chunk_rows)
