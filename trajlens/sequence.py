@@ -144,19 +144,17 @@ class Ordered:
         if not self.split:
             return self.on(apply(self.df, self.keys))
         size = self.chunk_rows
-        if max(back, ahead) > size:
-            raise ValueError(f"frame of {max(back, ahead)} rows exceeds a chunk of {size}")
         pos = F.expr(f"({self.order} - 1) % {size}")
-        none = F.array().cast("array<bigint>")
         home = F.col("_home")
-        targets = F.concat(
-            F.array(home),
-            F.when(pos >= size - back, F.array(home + 1)).otherwise(none),
-            F.when((pos < ahead) & (home > 0), F.array(home - 1)).otherwise(none),
-        )
+        targets = [home]
+        for i in range(1, -(-back // size) + 1):
+            targets.append(F.when(pos >= i * size - back, home + i))
+        for i in range(1, -(-ahead // size) + 1):
+            targets.append(F.when((pos < ahead - (i - 1) * size) & (home >= i), home - i))
+        copies = F.filter(F.array(*targets), lambda c: c.isNotNull())
         df = (
             self.df.drop("_chunk").withColumn("_home", self._home())
-            .withColumn("_chunk", F.explode(targets))
+            .withColumn("_chunk", F.explode(copies))
         )
         df = apply(df, [*self.keys, "_chunk"])
         return self.on(df.where(F.col("_chunk") == F.col("_home")).drop("_home"))
