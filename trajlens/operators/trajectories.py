@@ -1,8 +1,8 @@
 """Feature families of chat trajectories; one row per trajectory.
 
 The input is an ordered turn table ``(session_id, turn, role, text)``. "The next
-such turn" is found by numbering the turns of that kind and joining number n to
-n + 1, which keeps the join keys spread however long a trajectory is.
+such turn" is a running value taken backwards, so each family is one pass over its
+turns and one aggregation.
 """
 
 from __future__ import annotations
@@ -100,22 +100,21 @@ def awareness(acted: Ordered) -> DataFrame:
         _looks=low.isin(*tx.OBSERVE_VERBS, *tx.SEARCH_VERBS), _mutates=low.isin(*tx.MUTATE_VERBS),
         _verifies=low.isin(*tx.VERIFY_VERBS), _submits=low == "submit")
     base = base.on(base.df.drop("tool_name", "target_path"))
-    targets = base.df.where(F.col("_target").isNotNull()).groupBy(*acted.keys, "_target").agg(
-        F.min(F.when(F.col("_sees"), at)).alias("_seen"), F.max(F.when(F.col("_mutates"), at)).alias("_mutated"))
-    coverage = targets.where(F.col("_mutated").isNotNull()).groupBy(*acted.keys).agg(
-        F.count("*").alias("_distinct"), F.count(F.when(F.col("_seen") < F.col("_mutated"), 1)).alias("_covered"))
-    known = base.per_value("_target", _seen=F.min(F.when(F.col("_sees"), at)))
+    mutated = F.when(F.col("_mutates"), at)
+    known = base.per_value("_target", _seen=F.min(F.when(F.col("_sees"), at)), _first_mut=F.min(mutated), _last_mut=F.max(mutated))
+    # Each changed target is counted once, on its first change.
+    first = F.col("_target").isNotNull() & (F.col("_first_mut") == at)
     blind = F.col("_mutates") & F.col("_target").isNotNull() & (F.col("_seen").isNull() | (F.col("_seen") > at))
     verified = known.running(_verified=("last", F.when(F.col("_verifies"), at)), _n_submits=("count", F.when(F.col("_submits"), 1)))
     per = verified.df.groupBy(*acted.keys).agg(
         F.count("*").alias("n"), F.count(F.when(F.col("_looks"), 1)).alias("_n_looks"),
         F.count(F.when(F.col("_verifies"), 1)).alias("_n_verifies"), F.min(F.when(F.col("_mutates"), at)).alias("_first_mutate"),
         F.max(F.when(F.col("_mutates"), at)).alias("_last_mutate"), F.count(F.when(blind, 1)).alias("_blind"),
+        F.count(F.when(first, 1)).alias("_distinct"), F.count(F.when(first & (F.col("_seen") < F.col("_last_mut")), 1)).alias("_covered"),
         F.max(F.when((F.col("_n_submits") == 0) & F.col("_verifies"), at)).alias("_last_verify"))
-    joined = per.join(coverage, list(acted.keys), "left")
     n = F.col("n")
-    return joined.select(
-        *acted.keys, F.round(F.coalesce(F.col("_covered") / F.col("_distinct"), F.lit(0.0)), 6).alias("coverage"),
+    return per.select(
+        *acted.keys, F.round(F.when(F.col("_distinct") > 0, F.col("_covered") / F.col("_distinct")).otherwise(0.0), 6).alias("coverage"),
         F.round(F.col("_n_looks") / n, 6).alias("explore_ratio"),
         F.round(F.coalesce((F.col("_first_mutate") - 1) / n, F.lit(1.0)), 6).alias("read_before_first_edit"),
         F.round(F.col("_blind") / n, 6).alias("blind_edit_rate"),
@@ -137,33 +136,31 @@ def error_recovery(turns: Ordered, within: int = 3) -> DataFrame:
     seq = seq.on(seq.df.drop("text", "_line", "role"))
     seq = seq.with_columns(_ok=F.col("_obs") & ~F.col("_err"))
     lagged = seq.frame(1, 0, {"_prev_err": lambda w: F.coalesce(F.lag("_err").over(w), F.lit(False))})
-    told = lagged.running(_acts=("count", F.col("_act")), _oks=("count", F.when(F.col("_ok"), 1)),
-                          _fail=("last", F.col("_act")))
     at = F.col("seq")
-    episodes = told.df.where(F.col("_err") & ~F.col("_prev_err")).select(
-        *turns.keys, at.alias("at"), F.col("_fail"), (F.col("_acts") + 1).alias("_next_act"), (F.col("_oks") + 1).alias("_next_ok"))
-    acts = told.df.where(F.col("_act").isNotNull()).select(
-        *turns.keys, F.col("_acts").alias("_next_act"), F.col("_act").alias("_resp"))
-    oks = told.df.where("_ok").select(*turns.keys, F.col("_oks").alias("_next_ok"), at.alias("_ok_at"))
-    full = (episodes.join(acts, [*turns.keys, "_next_act"], "left").join(oks, [*turns.keys, "_next_ok"], "left"))
-    per_fail = full.groupBy(*turns.keys, "_fail").agg(
-        F.count("*").alias("_n"), F.count(F.when(F.col("_resp") != F.col("_fail"), 1)).alias("_changed"),
-        F.count(F.when(F.col("_ok_at") - F.col("at") <= within, 1)).alias("_recovered"),
-        F.sum(F.col("_ok_at") - F.col("at")).alias("_latency"), F.count("_ok_at").alias("_ended"))
-    per = per_fail.groupBy(*turns.keys).agg(
-        F.sum("_n").alias("episodes"), F.sum(F.when(F.col("_fail").isNotNull(), F.col("_n") - 1)).alias("_again"),
-        F.sum("_changed").alias("_changed"), F.sum("_recovered").alias("_recovered"),
-        F.sum("_latency").alias("_latency"), F.sum("_ended").alias("_ended"))
-    ends = told.df.groupBy(*turns.keys).agg(
-        F.max_by("_err", F.when(F.col("_obs"), at)).alias("_open"), F.max(F.when(F.col("_obs"), at)).alias("_last_obs"),
-        F.max(F.when(F.startswith("_act", F.lit("submit\u0001")) | (F.col("_act") == "submit"), at)).alias("_submit"))
-    every = ends.join(per, list(turns.keys), "left")
+    told = lagged.running(_fail=("last", F.col("_act"))).running(
+        exclusive=True, reverse=True, _resp=("last", F.col("_act")), _ok_at=("last", F.when(F.col("_ok"), at)))
+    episode = F.col("_err") & ~F.col("_prev_err")
+
+    def episodes_with(cond: Column) -> Column:
+        return F.count(F.when(episode & cond, 1))
+
+    submits = F.startswith("_act", F.lit("submit\u0001")) | (F.col("_act") == "submit")
+    wait = F.when(episode, F.col("_ok_at") - at)
+    per_fail = told.df.groupBy(*turns.keys, F.when(episode, F.coalesce("_fail", F.lit(""))).alias("_key")).agg(
+        episodes_with(F.lit(True)).alias("_n"), episodes_with(F.col("_resp") != F.col("_fail")).alias("_changed"),
+        episodes_with(F.col("_ok_at") - at <= within).alias("_recovered"), F.sum(wait).alias("_latency"), F.count(wait).alias("_ended"),
+        F.max(F.when(F.col("_obs"), F.struct(at.alias("at"), F.col("_err").alias("err")))).alias("_last_obs"),
+        F.max(F.when(submits, at)).alias("_submit"))
+    every = per_fail.groupBy(*turns.keys).agg(
+        F.sum("_n").alias("episodes"), F.coalesce(F.sum(F.when(F.col("_key") != "", F.col("_n") - 1)), F.lit(0)).alias("_again"),
+        F.sum("_changed").alias("_changed"), F.sum("_recovered").alias("_recovered"), F.sum("_latency").alias("_latency"),
+        F.sum("_ended").alias("_ended"), F.max("_last_obs").alias("_last_obs"), F.max("_submit").alias("_submit"))
     n = F.col("episodes")
 
     def share(c: str) -> Column:
-        return F.round(F.coalesce(F.col(c) / n, F.lit(0.0)), 6)
+        return F.round(F.when(n > 0, F.col(c) / n).otherwise(0.0), 6)
 
-    open_end = F.col("_open") & (F.col("_submit").isNull() | (F.col("_submit") < F.col("_last_obs")))
+    open_end = F.col("_last_obs.err") & (F.col("_submit").isNull() | (F.col("_submit") < F.col("_last_obs.at")))
     return every.select(
         *turns.keys, F.coalesce("episodes", F.lit(0)).alias("episodes"), share("_again").alias("recurrence_rate"),
         share("_changed").alias("strategy_change_rate"), share("_recovered").alias("recovery_rate"),

@@ -159,28 +159,33 @@ class Ordered:
         df = apply(df, [*self.keys, "_chunk"])
         return self.on(df.where(F.col("_chunk") == F.col("_home")).drop("_home"))
 
-    def running(self, exclusive: bool = False, **specs: tuple[str, Column]) -> "Ordered":
-        """Running aggregates from the first row of the session.
+    def running(self, exclusive: bool = False, reverse: bool = False, **specs: tuple[str, Column]) -> "Ordered":
+        """Running aggregates from the first row of the session, or back from the last one.
 
         Each spec is ``(kind, column)``; kinds are ``sum``, ``count`` (of non-null
         values), ``max``, ``min``, ``last`` (non-null) and ``collect`` (non-null
         values, which the caller must bound). ``exclusive`` leaves out the current row.
+        In reverse, ``last`` is the next value that follows.
         """
         end = -1 if exclusive else 0
+
+        def along(column: str) -> Column:
+            return F.desc(column) if reverse else F.asc(column)
+
         if not self.split:
-            w = (Window.partitionBy(*self.keys).orderBy(self.order)
+            w = (Window.partitionBy(*self.keys).orderBy(along(self.order))
                  .rowsBetween(Window.unboundedPreceding, end))
             return self.on(self.df.withColumns(
                 {name: _windowed(kind, col, w) for name, (kind, col) in specs.items()}))
         df = self.chunked().withColumns({f"_v_{n}": c for n, (_, c) in specs.items()})
-        w = (Window.partitionBy(*self.keys, "_chunk").orderBy(self.order)
+        w = (Window.partitionBy(*self.keys, "_chunk").orderBy(along(self.order))
              .rowsBetween(Window.unboundedPreceding, end))
         local = df.withColumns(
             {f"_l_{n}": _windowed(k, F.col(f"_v_{n}"), w) for n, (k, _) in specs.items()})
         sums = df.groupBy(*self.keys, "_chunk").agg(
-            *[_grouped(k, F.col(f"_v_{n}"), self.order).alias(f"_s_{n}")
+            *[_grouped(k, F.col(f"_v_{n}"), -F.col(self.order) if reverse else F.col(self.order)).alias(f"_s_{n}")
               for n, (k, _) in specs.items()])
-        earlier = (Window.partitionBy(*self.keys).orderBy("_chunk")
+        earlier = (Window.partitionBy(*self.keys).orderBy(along("_chunk"))
                    .rowsBetween(Window.unboundedPreceding, -1))
         carry = sums.select(*self.keys, "_chunk", *[
             _carried(k, F.col(f"_s_{n}"), earlier).alias(f"_c_{n}")
@@ -256,9 +261,9 @@ def _windowed(kind: str, col: Column, w: WindowSpec) -> Column:
     return {"count": F.count, "max": F.max, "min": F.min, "collect": F.collect_list}[kind](col).over(w)
 
 
-def _grouped(kind: str, col: Column, order: str) -> Column:
+def _grouped(kind: str, col: Column, order: Column) -> Column:
     if kind == "last":
-        return F.max_by(col, F.when(col.isNotNull(), F.col(order)))
+        return F.max_by(col, F.when(col.isNotNull(), order))
     return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min,
             "collect": F.collect_list}[kind](col)
 

@@ -15,12 +15,14 @@ def build_session(app: str = "trajlens", master: str | None = None) -> SparkSess
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.windowExec.buffer.in.memory.threshold", "65536")
         .config("spark.ui.enabled", "false")
     )
     if master:
+        # Local tables are far below the target partition size, so keep one partition per core.
         builder = builder.master(master).config(
             "spark.sql.shuffle.partitions", os.environ.get("BENCH_CPUS", "8")
-        ).config("spark.driver.memory", "12g")
+        ).config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.driver.memory", "12g")
     return builder.getOrCreate()
 
 
