@@ -208,9 +208,10 @@ def mark_agreement(spark, sf_dir):
 
 
 @query("mark_confusion", f"""{MARKS}, c AS (SELECT count(*) FILTER (WHERE label = 'struggling' AND nearby > 0) AS tp, count(*) FILTER (WHERE label = 'fine' AND nearby > 0) AS fp,
-  count(*) FILTER (WHERE label = 'struggling' AND nearby = 0) AS fn, count(*) FILTER (WHERE label = 'fine' AND nearby = 0) AS tn, count(*) AS n FROM pm)
-SELECT tp, fp, fn, tn, round((tp + tn) / n, 3) AS agreement_rate, round(tp / (tp + fp), 3) AS precision, round(tp / (tp + fn), 3) AS recall,
-  round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 3) AS f1 FROM c""")
+  count(*) FILTER (WHERE label = 'struggling' AND nearby = 0) AS fn, count(*) FILTER (WHERE label = 'fine' AND nearby = 0) AS tn, count(*) AS n FROM pm),
+q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
+SELECT tp, fp, fn, tn, round((tp + tn) / n, 3) AS agreement_rate, round(p, 3) AS precision, round(r, 3) AS recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 3) AS f1 FROM q""")
 def mark_confusion(spark, sf_dir):
     return ev.mark_confusion(per_mark(spark, sf_dir))
 
