@@ -8,11 +8,9 @@ from trajlens.sequence import CHUNK_SETTING
 
 SF = f"{ROOT}/sf0.001"
 # One query per kind of ordered operation, run again with sessions split into chunks.
-SPLIT = ["sliding_entropy", "sliding_mi", "baseline_kl", "sliding_surprisal", "substream_entropy", "feedback_action_mi",
-         "stage_flow", "memory_flow", "phase_machine", "phase_segment_stats", "longest_run", "detect_context_loss",
-         "detect_stall", "detect_goal_drift", "detect_tool_misuse", "workload_features", "error_recovery_features",
-         "awareness_features", "write_read_signals", "stale_reads", "metric_anomalies", "gradual_decline", "change_points",
-         "cognition_attention", "cognition_memory", "decision_points", "phase_distributions", "merged_streams", "spearman_average"]
+SPLIT = ["sliding_mi", "baseline_kl", "feedback_action_mi", "phase_segment_stats", "detect_context_loss", "detect_stall",
+         "error_recovery_features", "awareness_features", "stale_reads", "change_points", "cognition_memory",
+         "decision_points", "merged_streams", "spearman_average"]
 
 
 @pytest.fixture(scope="module")
