@@ -187,3 +187,15 @@ def best_thresholds(points: DataFrame, keys: list[str]) -> DataFrame:
         F.max_by(F.struct("z", "tpr", "fpr", j.alias("j")), F.struct(F.round(j, 12), -F.col("z"))).alias("_b")).select(
         *keys, F.col("_b.z").alias("best_z"), F.round("_b.j", 4).alias("best_j"), F.round("_b.tpr", 4).alias("best_tpr"),
         F.round("_b.fpr", 4).alias("best_fpr"))
+
+
+def scenario_scores(detections: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per session the detected against the expected set of failures."""
+    d = detections.select("session_id", "failure").distinct().withColumn("_d", F.lit(1))
+    e = expected.select("session_id", "failure").distinct().withColumn("_e", F.lit(1))
+    per = d.join(e, ["session_id", "failure"], "full_outer").groupBy("session_id").agg(
+        F.count(F.when(F.col("_d").isNotNull() & F.col("_e").isNotNull(), 1)).alias("tp"),
+        F.count(F.when(F.col("_e").isNull(), 1)).alias("fp"), F.count(F.when(F.col("_d").isNull(), 1)).alias("fn"))
+    p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"), "one")
+    return per.select("session_id", "tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"),
+                      F.round(f, 4).alias("f1"), ((F.col("fp") == 0) & (F.col("fn") == 0)).alias("exact"))

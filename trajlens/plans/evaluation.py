@@ -294,3 +294,33 @@ def lead_lag(spark, sf_dir):
     a, b = F.col("anomaly_step"), F.col("loop_step")
     verdict = (F.when(b.isNull(), "no loop").when(a.isNull(), "missed").when(a < b, "leads").when(a == b, "co-fires").otherwise("lags"))
     return loop.join(first, "session_id", "full_outer").select("session_id", "loop_step", "anomaly_step", (b - a).alias("lead"), verdict.alias("verdict"))
+
+
+SCENARIOS = DET + """, dd AS (SELECT DISTINCT session_id, failure FROM det), ee AS (SELECT DISTINCT session_id, failure FROM tru),
+sj AS (SELECT coalesce(dd.session_id, ee.session_id) AS session_id, dd.failure IS NOT NULL AS d, ee.failure IS NOT NULL AS e FROM dd FULL JOIN ee ON dd.session_id = ee.session_id AND dd.failure = ee.failure),
+sc AS (SELECT session_id, count(*) FILTER (WHERE d AND e) AS tp, count(*) FILTER (WHERE d AND NOT e) AS fp, count(*) FILTER (WHERE e AND NOT d) AS fn FROM sj GROUP BY session_id),
+sp AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END AS r FROM sc)"""
+
+
+@query("scenario_scores", f"""WITH {SCENARIOS} SELECT session_id, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1, fp = 0 AND fn = 0 AS exact FROM sp""")
+def scenario_scores(spark, sf_dir):
+    return ev.scenario_scores(found(spark, sf_dir), truth(spark, sf_dir))
+
+
+SURE = DET + """, mt2 AS (SELECT session_id, failure, CASE WHEN onset_step IS NULL THEN 'fp' WHEN step IS NULL THEN 'fn'
+    WHEN onset_step = 0 OR abs(step - onset_step) <= 5 THEN 'full' ELSE 'partial' END AS match_type FROM (SELECT * FROM best WHERE confidence >= 0.3) FULL JOIN
+    (SELECT * FROM tru WHERE NOT is_latent) USING (session_id, failure)),
+mw2 AS (SELECT *, CASE match_type WHEN 'full' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END::DOUBLE AS tp_weight FROM mt2)"""
+
+
+@query("scores_by_split", f"""WITH {SURE}, h AS (SELECT *, CAST('0x' || left(sha256(CAST(session_id AS VARCHAR)), 8) AS BIGINT) % 100 AS bucket FROM mw2),
+s AS (SELECT *, CASE WHEN bucket < 10 THEN 'debug' WHEN bucket < 30 THEN 'val' ELSE 'test' END AS split FROM h),
+per AS (SELECT split, failure, sum(tp_weight) AS tp, count(*) FILTER (WHERE match_type = 'fp') AS fp, count(*) FILTER (WHERE match_type = 'fn') AS fn, count(*) FILTER (WHERE match_type <> 'fn') AS candidates FROM s GROUP BY ALL),
+pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) WHEN fn = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) WHEN fp = 0 THEN 1.0 ELSE 0.0 END AS r FROM per)
+SELECT split, failure, tp, fp, fn, candidates, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1 FROM pr""")
+def scores_by_split(spark, sf_dir):
+    """Detector scores per data split; weak detections are left out before matching."""
+    from trajlens.functions.text import hash_split
+    m = ev.match(found(spark, sf_dir).where("confidence >= 0.3"), truth(spark, sf_dir))
+    return ev.detector_scores(m.withColumn("split", hash_split(F.col("session_id"))), ("split",))
