@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlens.llm import packing, tokens
+from trajlens.llm import licenses, packing, pii, tokens, warc
 from trajlens.llm.common import shared_folder, table
 from trajlens.llm.registry import ORACLES, QUERIES, query
 
@@ -24,3 +24,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                   shared_folder(spark, "token-counts"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.find_pii(table(spark, sf_dir, "documents"))
+    count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
+    return spans.select("doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)],
+                        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+                        pii.listed(pii.all_spans(F.col("base"), F.col("added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("hits", lambda h: h["kind"] == "base")
+    labels = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
+    words = F.transform(base, lambda h: h["word"])
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(words).alias("first_word"),
+                        F.array_max(words).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("hits")).alias("labels"), "score")
+
+
+@query("op8_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS newest FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
+FROM m""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archived = warc.archive_pages(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+    return archived.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
