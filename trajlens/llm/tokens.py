@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlens.llm.wordpieces import byte_counts
+from trajlens.session import durable
 
 CACHE_DDL = "digest binary, version binary, n_tokens long"
 TEXTS = 256
@@ -71,5 +72,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, normalise: Callabl
     fresh = texts.join(missing.hint("shuffle_hash"), chosen, "left_semi").select("digest", "text")
     (fresh.mapInArrow(encode, "digest binary, n_tokens long")
      .select("digest", version.alias("version"), "n_tokens").write.mode("append").parquet(cache))
+    # Written before the join, so that Spark can split the many rows of one digest over tasks.
     # Left, so that a row can never get lost between the two reads.
-    return rows.join(counts(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    return rows.join(durable(counts()), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
