@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlens.llm import decontam, licenses, packing, pii, quality, search, tokens, toxicity, warc
+from trajlens.llm import decontam, licenses, neardup, packing, pii, quality, search, tokens, toxicity, warc
 from trajlens.llm.common import held_out, shared_folder, table
 from trajlens.llm.registry import ORACLES, QUERIES, query
 
@@ -55,6 +55,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("passages").cast("long").alias("n_passages"))
 
 
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op7_license_scan")
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
