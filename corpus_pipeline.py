@@ -1,8 +1,64 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written and read again.
 
+A stage takes what the one before it kept. All but the last return the columns
+of ``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+
+import trajlens
+from trajlens.llm import decontam, neardup, packing, pii, toxicity
+from trajlens.llm.common import shared_folder, table
+
+# Python workers need not have the package on their path.
+cloudpickle.register_pickle_by_value(trajlens)
+
+#: Learnt models, shingles and samples of signatures are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text the toxicity model rejects go."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document of the smallest id stays."""
+    return neardup.without_copies(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to the allowed edits, go."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.without_pii(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left becomes full sequences of token ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("pii", redact_pii),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        folder = shared_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

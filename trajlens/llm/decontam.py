@@ -200,6 +200,29 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits",
 _DDL = "doc_id long, item_id long, edits long, item_words long, last_word long, places long"
 
 
+def passes(items: DataFrame, settings: Settings) -> Iterator[Index]:
+    """The items in passes of at most some PASS_WORDS words; one of no items where there are none."""
+    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    wanted = wanted.where("item_id IS NOT NULL").distinct()
+    # Runs of word characters and what lies between them bound the number of words.
+    size = F.length(F.regexp_replace("text", "[A-Za-z0-9\\x{80}-\\x{10ffff}]+", "x"))
+    number = 1 + int((wanted.agg(F.sum(size)).first()[0] or 0) // PASS_WORDS)
+    for k in range(number):
+        rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k).collect()
+        yield Index([(r.item_id, r.text) for r in rows], settings)
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Runs of a batch's rows with their words, of about CHUNK_WORDS words each."""
+    begin, texts, held = 0, [], 0
+    for row, text in enumerate(batch.column(column)):
+        texts.append(words_of(text.as_py() or ""))
+        held += len(texts[-1])
+        if held >= CHUNK_WORDS or row == batch.num_rows - 1:
+            yield batch.slice(begin, row + 1 - begin), texts
+            begin, texts, held = row + 1, [], 0
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that hold an item up to the allowed edits: one row per document and item.
 
@@ -210,41 +233,37 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(
     words are no evidence and match nothing. Repeated documents give repeated
     rows, null ids stay null, empty tables give no rows, and other columns are
     not read. Items go to the tasks in passes of at most PASS_WORDS words, so
-    what a task holds is bounded, however large the benchmark is.
+    what a task holds is bounded, however large the benchmark is. Where ids
+    repeat with other texts, each text is an item, and its id's last one wins.
     """
-    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    # Blanks and punctuation bound a text's words.
-    size = F.length(F.regexp_replace("text", "[A-Za-z0-9\\x{80}-\\x{10ffff}]+", "x"))
-    total = wanted.agg(F.sum(size)).first()[0] or 0
-    passes = 1 + int(total // PASS_WORDS)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     result = None
-    for number in range(passes):
-        rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).collect()
-        # Without items nothing can match, but the columns stay.
-        index = Index([(r.item_id, r.text) for r in rows if r.item_id is not None], settings)
-
+    for index in passes(items, settings):
         def look(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             lengths = {i: len(s) for i, s in zip(index.ids, index.sequences)}
-
-            def flush(ids: list, texts: list) -> pa.RecordBatch:
-                found = [(d, i, e, lengths[i], last, places) for d, m in zip(ids, index.matches(texts)) for i, (e, last, places) in sorted(m.items())]
-                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * 6, _SCHEMA)], schema=_SCHEMA)
-
-            ids: list = []
-            texts: list[list[bytes]] = []
-            held = 0
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids.append(doc_id)
-                    texts.append(words_of(text.as_py() or ""))
-                    held += len(texts[-1])
-                    if held >= CHUNK_WORDS:
-                        yield flush(ids, texts)
-                        ids, texts, held = [], [], 0
-            if ids:
-                yield flush(ids, texts)
+                for rows, texts in _slices(batch, 1):
+                    found = [(d, i, e, lengths[i], last, places) for d, m in zip(rows.column(0).to_pylist(), index.matches(texts))
+                             for i, (e, last, places) in sorted(m.items())]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _SCHEMA)], schema=_SCHEMA)
 
         found = chosen.mapInArrow(look, _DDL)
         result = found if result is None else result.unionByName(found)
     return result
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item; null texts hold none.
+
+    Rows pass through in one pass for each pass of items, without a shuffle.
+    """
+    place = docs.columns.index(text_col)
+    for index in passes(items, settings):
+        def kept(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, texts in _slices(batch, place):
+                    yield rows.filter(pa.array([not m for m in index.matches(texts)], pa.bool_()))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs

@@ -254,3 +254,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their group; of rows that repeat an id and a text, one."""
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times"))
+    kept = durable(kept)
+    own = docs.join(kept.select("kept_id").hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    # Rarely needed, and it would sort all texts.
+    if not kept.where("times > 1").isEmpty():
+        own = own.dropDuplicates(["doc_id", "text"])
+    return own.unionByName(docs.where("doc_id IS NULL"))

@@ -218,3 +218,14 @@ def redacted(text: Column, spans: Column) -> Column:
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(
         acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))))
+
+
+def without_pii(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all their columns; personal data in ``text`` is replaced by its kind, ``n_chars`` follows."""
+    spans = find_pii(docs).where((F.size("base") > 0) | (F.size("added") > 0)).select(
+        F.col("doc_id").alias("of"), F.col("text_sha").alias("sha"), all_spans(F.col("base"), F.col("added")).alias("spans"))
+    spans = spans.dropDuplicates(["of", "sha"])
+    joined = docs.join(spans.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("of")) & (F.sha2(docs["text"], 256) == F.col("sha")), "left")
+    text = F.when(F.col("spans").isNull(), docs["text"]).otherwise(redacted(docs["text"], F.col("spans")))
+    columns = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    return joined.select(*columns)

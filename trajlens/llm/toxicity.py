@@ -233,3 +233,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                                              ["doc_id", "score", "passages"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scored, DDL)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``.
+
+    Null texts count as empty. Rows pass through in one pass without a shuffle.
+    """
+    place = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, w = _Scorer(model), np.array(model.weights)
+        for batch in batches:
+            x = [[*scorer.document(t or "")[0], 1.0] for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(sigmoid(np.array(x) @ w) < threshold)) if x else batch
+
+    return docs.mapInArrow(kept, docs.schema)
