@@ -86,6 +86,7 @@ def test_ledger_drops_bad_lines(spark, tmp_path):
     path = tmp_path / "ledger.jsonl"
     path.write_text('{"session_id": "a", "value": 3}\nnot json\n{"session_id": "b", "value": 1}\n')
     assert ad.read_ledger(spark, str(path), "session_id string, value int").count() == 2
+    assert [r["line"] for r in ad.bad_ledger_lines(spark, str(path), "session_id string, value int").collect()] == ["not json"]
 
 
 def test_annotation_replies(spark):
@@ -95,7 +96,7 @@ def test_annotation_replies(spark):
     assert got == {"a": ("4.2", []), "b": (None, ["unknown code", "severity out of range"])}
 
 
-@pytest.mark.parametrize("text,want", [("Read the config file. Then go.", "Read the config file."), ("short", None), ("x" * 300, "x" * 200)])
+@pytest.mark.parametrize("text,want", [("Read the config file. Then go.", "Read the config file."), ("short", None), ("x" * 300, "x" * 300)])
 def test_goal_of_thought(spark, text, want):
     from pyspark.sql import functions as F
     assert spark.range(1).select(ad.goal_of_thought(F.lit(text))).first()[0] == want

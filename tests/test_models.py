@@ -60,7 +60,7 @@ def test_null_and_gain(data):
     out = md.null_test(df, "id", ["a", "b"], "y", 20).first()
     assert out["auc"] > 0.8 and out["above_null"] and out["replicates"] == 20
     base, full = md.logistic_cv(df, "id", ["c"], "y"), md.logistic_cv(df, "id", ["a", "c"], "y")
-    gain = md.decision(md.bootstrap_auc_gain(base, full, 50)).first()
+    gain = md.decision(md.bootstrap_auc_gain(base, full, 50), 0.03).first()
     assert gain["low"] > 0 and gain["low"] < gain["gain"] < gain["high"] and gain["decision"] == "supported"
 
 

@@ -155,10 +155,10 @@ def verb_class(verb: Column) -> Column:
 
 
 def output_hash(given: Column, tool: Column, tokens_out: Column, success: Column) -> Column:
-    """The given output hash, or a short digest of tool, tokens and success."""
+    """The given output hash, or a digest of tool, tokens and success."""
     flag = F.when(success, "True").otherwise("False")
     raw = F.concat_ws(":", F.coalesce(tool, F.lit("None")), tokens_out.cast("string"), flag)
-    return F.coalesce(given, F.substring(F.md5(raw), 1, 8))
+    return F.coalesce(given, F.md5(raw))
 
 
 # File categories in the order they are tried.

@@ -67,10 +67,10 @@ def arguments_of(line: Column) -> Column:
 
 
 def first_path(args: Column) -> Column:
-    """A quoted argument or the first token, at most 200 characters; null when empty."""
+    """A quoted argument or the first token, whole; null when empty."""
     quoted = F.regexp_extract(args, QUOTED, 1)
     token = F.regexp_extract(args, r"^\s*(\S+)", 1)
-    chosen = F.substring(F.when(quoted != "", quoted).otherwise(token), 1, 200)
+    chosen = F.when(quoted != "", quoted).otherwise(token)
     return F.when(chosen != "", chosen)
 
 
@@ -141,14 +141,13 @@ def error_origin(text: Column) -> Column:
 
 
 def is_error_result(flag: Column, text: Column) -> Column:
-    head = F.lower(F.substring(text, 1, 300))
-    return F.coalesce(flag, F.lit(False)) | any_of(head, ("error", "traceback", "exception", "failed"))
+    return F.coalesce(flag, F.lit(False)) | any_of(F.lower(text), ("error", "traceback", "exception", "failed"))
 
 
 def normal_command(command: Column) -> Column:
-    """First sub-command of a shell line, spaces collapsed, at most 80 characters."""
+    """First sub-command of a shell line, spaces collapsed."""
     first = F.element_at(F.split(F.element_at(F.split(command, r"\n"), 1), " && "), 1)
-    return F.substring(stripped(F.regexp_replace(first, r"\s+", " ")), 1, 80)
+    return stripped(F.regexp_replace(first, r"\s+", " "))
 
 
 def passed_share(log: Column) -> Column:

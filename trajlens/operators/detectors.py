@@ -399,8 +399,8 @@ def strategic_myopia(ev: Ordered, min_cycles: int = 4, min_edits: int = 8, conce
     text = F.concat(F.coalesce("goal_text", F.lit("")), F.coalesce("input_hash", F.lit("")))
     runs_eval = is_call() & F.col("tool").isin("Bash", "bash") & text.rlike(EVAL_RUN)
     edits = is_call() & F.col("tool").isin("Edit", "Write", "edit", "write", "edit_file", "write_file")
-    target = F.substring(F.coalesce(F.when(F.col("goal_text") != "", F.col("goal_text")),
-                                    F.when(F.col("input_hash") != "", F.col("input_hash")), F.col("tool")), 1, 120)
+    target = F.coalesce(F.when(F.col("goal_text") != "", F.col("goal_text")),
+                        F.when(F.col("input_hash") != "", F.col("input_hash")), F.col("tool"))
     reads = is_call() & F.col("tool").isin("Read", "read", "read_file")
     broad = reads & any_of(F.lower(text), BROAD_READS)
     report = F.concat(F.coalesce("goal_text", F.lit("")), F.coalesce("error_message", F.lit("")))

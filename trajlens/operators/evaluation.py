@@ -46,13 +46,10 @@ def match(detections: DataFrame, truth: DataFrame, window: int = 5, keys: tuple[
     return joined.select(*on, "confidence", "step", "onset_step", kind.alias("match_type"), weight.alias("tp_weight"))
 
 
-def _spread(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Truth repeated for each of the few evaluation modes present."""
-    modes = [tuple(r) for r in detections.select(*keys).distinct().limit(65).collect()]
-    if len(modes) > 64:
-        raise ValueError("more than 64 evaluation modes")
-    cells = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, mode)]) for mode in modes])
-    return truth.select(F.inline(cells), *truth.columns)
+def _spread(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...], parts: int = 16) -> DataFrame:
+    """Truth repeated for each evaluation mode present; both sides meet in ``parts`` parts, so neither is collected."""
+    modes = detections.select(*keys).distinct().withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return truth.withColumn("_part", F.pmod(F.xxhash64("session_id"), F.lit(parts)).cast("int")).join(modes, "_part").drop("_part")
 
 
 def detector_scores(matches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -35,11 +35,25 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+def with_canonical(records: DataFrame, prefix: int = 8) -> DataFrame:
+    """The records with ``canonical_id`` and whether the id is an ambiguous short form.
+
+    Full ids stay apart, whatever they begin with. A bare id of ``prefix``
+    characters stands for the one full id that begins with it; where several do,
+    it is ``ambiguous`` and stays itself.
+    """
+    full = records.select("session_id").distinct().where(F.length("session_id") > prefix)
+    named = full.groupBy(F.substring("session_id", 1, prefix).alias("_short")).agg(F.count("*").alias("_full"), F.max("session_id").alias("_only"))
+    joined = records.join(named, F.col("session_id") == F.col("_short"), "left")
+    return joined.withColumns({
+        "canonical_id": F.when(F.col("_full") == 1, F.col("_only")).otherwise(F.col("session_id")),
+        "ambiguous": F.coalesce(F.col("_full") > 1, F.lit(False))}).drop("_short", "_full", "_only")
+
+
 def canonical_ids(df: DataFrame, prefix: int = 8) -> DataFrame:
-    """The longest id seen for each id prefix."""
-    return df.groupBy(F.substring("session_id", 1, prefix).alias("prefix")).agg(
-        F.max_by("session_id", F.struct(F.length("session_id"), "session_id")).alias("canonical_id"),
-        F.count_distinct("session_id").alias("ids"))
+    """Each session's canonical id, how many written forms it has and whether it is an ambiguous short form."""
+    return with_canonical(df.select("session_id"), prefix).groupBy("canonical_id").agg(
+        F.count_distinct("session_id").alias("ids"), F.bool_or("ambiguous").alias("ambiguous"))
 
 
 def ground_truth(records: DataFrame, prefix: int = 8) -> DataFrame:
@@ -47,22 +61,20 @@ def ground_truth(records: DataFrame, prefix: int = 8) -> DataFrame:
 
     A session whose most trusted record is a human or adjudicated "clean" has none.
     Unlabeled detector output never counts. Everything is picked by aggregation per
-    id prefix, so one session with very many records needs no sort.
+    session, so one session with very many records needs no sort.
     """
-    keyed = records.withColumns({
-        "prefix": F.substring("session_id", 1, prefix), "_auth": rank_of(F.col("label_status"), AUTHORITY)})
-    best = first_by(keyed.select("prefix", "_auth", "seq", "label_status", "annotator_type", "has_failure"),
-                    ["prefix"], [-F.col("_auth"), F.col("seq")])
+    keyed = with_canonical(records, prefix).withColumn("_auth", rank_of(F.col("label_status"), AUTHORITY))
+    best = first_by(keyed.select("canonical_id", "_auth", "seq", "label_status", "annotator_type", "has_failure"),
+                    ["canonical_id"], [-F.col("_auth"), F.col("seq")])
     clean = best.where(F.col("label_status").isin(*TRUSTED) & F.col("annotator_type").isin("human", "adjudicated")
-                       & ~F.col("has_failure")).select("prefix")
+                       & ~F.col("has_failure")).select("canonical_id")
     usable = keyed.where(
         F.col("has_failure") & F.col("label_status").isin(*TRUSTED, "auto_labeled") & (F.coalesce("code", F.lit("")) != ""))
-    kept = usable.join(clean, "prefix", "left_anti")
-    one = first_by(kept.select("prefix", "code", "_auth", "seq", "onset_step", "is_latent", "label_status"),
-                   ["prefix", "code"], [-F.col("_auth"), F.col("seq")])
-    return one.join(canonical_ids(records, prefix).select("prefix", "canonical_id"), "prefix").select(
-        F.col("canonical_id").alias("session_id"), "code", "onset_step", "is_latent",
-        (F.col("label_status") == "auto_labeled").alias("is_draft"))
+    kept = usable.join(clean, "canonical_id", "left_anti")
+    one = first_by(kept.select("canonical_id", "code", "_auth", "seq", "onset_step", "is_latent", "label_status"),
+                   ["canonical_id", "code"], [-F.col("_auth"), F.col("seq")])
+    return one.select(F.col("canonical_id").alias("session_id"), "code", "onset_step", "is_latent",
+                      (F.col("label_status") == "auto_labeled").alias("is_draft"))
 
 
 def best_labels(records: DataFrame) -> DataFrame:
@@ -142,7 +154,7 @@ def issues(records: DataFrame, codes: list[str]) -> DataFrame:
 def quality_report(records: DataFrame, prefix: int = 8) -> DataFrame:
     """Ledger-wide warnings: circular, conflicting, draft-only and mixed-id sessions."""
     trusted = F.col("label_status").isin(*TRUSTED)
-    per = records.groupBy(F.substring("session_id", 1, prefix).alias("prefix")).agg(
+    per = with_canonical(records, prefix).groupBy("canonical_id").agg(
         F.count("*").alias("n"), F.bool_and(F.col("annotator_type") == "detector").alias("detector_only"),
         F.bool_or(trusted & ~F.col("has_failure")).alias("_clean"), F.bool_or(trusted & F.col("has_failure")).alias("_bad"),
         F.bool_or(F.col("label_status") == "auto_labeled").alias("_draft"), F.bool_or(trusted).alias("_trusted"),

@@ -85,11 +85,12 @@ def ridge_fit(moments: np.ndarray, n_features: int, alpha: float = 1.0) -> np.nd
 
 
 def ridge_cv(df: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 5,
-             alpha: float = 1.0) -> dict[str, float]:
+             alpha: float = 1.0) -> dict[str, float | None]:
     """Mean cross-validated R2 of each target on the features, from one pass over the rows.
 
     The held-out squared error follows from the held-out moments alone. A target that
-    hardly varies scores 0.
+    does not vary has no score: its value is None, and so is that of one that varies in
+    no held-out fold.
     """
     m = fold_moments(df, [*features, *targets], k)
     q = len(features)
@@ -105,8 +106,9 @@ def ridge_cv(df: DataFrame, features: Sequence[str], targets: Sequence[str], k:
             b = beta[:, i]
             xx, xy = held[:1 + q, :1 + q], held[:1 + q, at]
             sse = held[at, at] - 2 * b @ xy + b @ xx @ b
-            scores[t].append(1 - sse / sst if sst > 1e-12 else 0.0)
-    return {t: float(np.mean(s)) for t, s in scores.items()}
+            if sst > 1e-12:
+                scores[t].append(1 - sse / sst)
+    return {t: float(np.mean(s)) if s else None for t, s in scores.items()}
 
 
 def ridge_out_of_fold(df: DataFrame, features: Sequence[str], target: str, k: int = 5, alpha: float = 1.0) -> DataFrame:
@@ -123,18 +125,57 @@ def ridge_out_of_fold(df: DataFrame, features: Sequence[str], target: str, k: in
     return df.withColumn("score", chain)
 
 
+def permutation_cuts(rows: DataFrame, replicates: int, parts: int = 1024) -> np.ndarray:
+    """For each null replicate, the number below which as many rows lie as have a positive label.
+
+    Labelling those rows permutes the labels. Each pass counts the rows in ``parts``
+    parts of what is left of each replicate's range, so what reaches the driver does
+    not grow with the rows. Rows of equal ids go together.
+    """
+    if not replicates:
+        return np.empty(0)
+    wanted = np.full(replicates, float(rows.agg(F.sum("_y")).first()[0] or 0))
+    low, width = np.zeros(replicates), 1.0
+    for _ in range(6):   # 1024 ** 6 exceeds the 2 ** 53 different numbers
+        start, step = low.copy(), width / parts
+
+        def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc = np.zeros((replicates, parts + 1))
+            for pdf in batches:
+                h = pdf["_h"].to_numpy()
+                for b in range(replicates):
+                    at = np.floor((uniform(h, b + 1) - start[b]) / step)
+                    acc[b] += np.bincount(at[(at >= 0) & (at < parts)].astype(int), minlength=parts + 1)
+            b, cell = np.nonzero(acc)
+            yield pd.DataFrame({"fold": b, "cell": cell, "v": acc[b, cell]})
+
+        counts = np.zeros((replicates, parts))
+        for row in _summed(rows.select("_h"), reduce_rows, _CELLS, ["fold", "cell"]).collect():
+            counts[row["fold"], row["cell"]] = row["v"]
+        upto = counts.cumsum(axis=1)
+        # The last boundary with no more rows below it than wanted.
+        full = (upto <= wanted[:, None]).sum(axis=1)
+        wanted -= np.where(full > 0, upto[np.arange(replicates), np.maximum(full - 1, 0)], 0)
+        low = start + full * step
+        width = step
+        if not wanted.any():
+            break
+    return low
+
+
 def logistic_cv(df: DataFrame, ident: str, features: Sequence[str], label: str, null_replicates: int = 0,
-                k: int = 5, iterations: int = 8) -> DataFrame:
+                k: int = 5, iterations: int = 200) -> DataFrame:
     """Out-of-fold scores of L2 logistic regression, for the labels and for null labels.
 
     Features are standardised per training fold and the penalty is half the squared
     weights on the summed loss. All folds and replicates take their Newton step from
-    the same pass over the rows. Replicate 0 has the real labels; the others draw
-    labels with the observed share of positives. Result: ``replicate, fold, y, score``.
+    the same pass over the rows, until no weight moves; a fit that has not settled
+    after ``iterations`` passes raises. Replicate 0 has the real labels; the others are
+    permutations: as many rows are positive, chosen by the row's number in the replicate.
+    Result: ``replicate, fold, y, score``.
     """
     cols = list(features)
     m = fold_moments(df, cols, k)
-    base = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
     total = m.sum(axis=0)
     means, sds = [], []
     for f in range(k):
@@ -146,9 +187,11 @@ def logistic_cv(df: DataFrame, ident: str, features: Sequence[str], label: str,
     p, r = len(cols) + 1, null_replicates + 1
     rows = df.select(F.xxhash64(F.col(ident)).alias("_h"), "fold", F.col(label).cast("double").alias("_y"), *cols)
 
+    cuts = permutation_cuts(rows, null_replicates)
+
     def labels(pdf: pd.DataFrame) -> np.ndarray:
         h = pdf["_h"].to_numpy()
-        null = [(uniform(h, b) < base).astype(float) for b in range(1, r)]
+        null = [(uniform(h, b) < cuts[b - 1]).astype(float) for b in range(1, r)]
         return np.column_stack([pdf["_y"].to_numpy(), *null])
 
     def design(pdf: pd.DataFrame, f: int) -> np.ndarray:
@@ -188,6 +231,8 @@ def logistic_cv(df: DataFrame, ident: str, features: Sequence[str], label: str,
                 moved = max(moved, float(np.abs(step).max()))
         if moved < 1e-8:
             break
+    else:
+        raise RuntimeError(f"the logistic fit has not settled after {iterations} passes")
     final = weights
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,26 +269,23 @@ def null_test(df: DataFrame, ident: str, features: Sequence[str], label: str, re
                    F.count(null).alias("replicates")).withColumn("above_null", F.col("auc") > F.col("null_p95"))
 
 
-def bootstrap_auc_gain(base: DataFrame, full: DataFrame, replicates: int, bins: int = 1000) -> DataFrame:
+def bootstrap_auc_gain(base: DataFrame, full: DataFrame, replicates: int) -> DataFrame:
     """Gain in AUC of one set of out-of-fold scores over another with a bootstrap interval.
 
-    Each task adds up its replicate weights per score bin and class, so what is
-    shuffled depends on bins and replicates and not on rows; scores closer than one
-    bin count as tied.
+    Each batch adds up its replicate weights per distinct score and class; only equal
+    scores are tied.
     """
     def curve(scores: DataFrame) -> DataFrame:
         def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            acc = np.zeros((2, bins + 1, replicates + 1))
+            b = np.arange(replicates + 1)
             for pdf in batches:
                 w = np.column_stack([np.ones(len(pdf)), bootstrap_weights(pdf["id_hash"].to_numpy(), replicates)])
-                at = np.clip((pdf["score"].to_numpy() * bins).round().astype(int), 0, bins)
+                used, at = np.unique(pdf["score"].to_numpy(), return_inverse=True)
+                acc = np.zeros((2, len(used), replicates + 1))
                 np.add.at(acc, (pdf["y"].to_numpy().astype(int), at), w)
-            used = np.nonzero(acc.any(axis=(0, 2)))[0]
-            b = np.arange(replicates + 1)
-            yield pd.DataFrame({"bin": np.repeat(used, len(b)), "b": np.tile(b, len(used)),
-                                "neg": acc[0, used].ravel(), "pos": acc[1, used].ravel()})
+                yield pd.DataFrame({"bin": np.repeat(used, len(b)), "b": np.tile(b, len(used)), "neg": acc[0].ravel(), "pos": acc[1].ravel()})
 
-        sums = scores.mapInPandas(reduce_rows, "bin int, b int, neg double, pos double").groupBy("b", "bin").agg(
+        sums = scores.mapInPandas(reduce_rows, "bin double, b int, neg double, pos double").groupBy("b", "bin").agg(
             F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
         below = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         wins = sums.withColumn("_w", F.col("pos") * (below + F.col("neg") / 2))
@@ -346,7 +388,7 @@ def max_correlations(df: DataFrame, constructs: Sequence[str], features: Sequenc
                                                                    for f in features])), 6).alias("max_abs_r")) for c in constructs])))
 
 
-def decision(gain: DataFrame, floor: float = 0.02) -> DataFrame:
-    """The locked rule on a construct: a gain counts with its interval above 0 and at the floor."""
+def decision(gain: DataFrame, floor: float) -> DataFrame:
+    """The locked rule on a construct: a gain counts with its interval above 0 and at the caller's floor."""
     return gain.withColumn("decision", F.when((F.col("low") > 0) & (F.col("gain") >= floor), "supported")
                            .when(F.col("low") > 0, "detectable, below floor").otherwise("not supported"))

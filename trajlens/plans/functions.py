@@ -93,7 +93,7 @@ def path_categories(spark, sf_dir):
 
 
 @query("synthetic_times", f"""WITH {b1()} SELECT session_id, step, round(coalesce(sum(latency_ms) OVER (PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000, 4) AS timestamp,
-  left(md5(event_type || ':' || k || ':' || CASE WHEN success THEN 'True' ELSE 'False' END), 8) AS output_hash FROM b1""")
+  md5(event_type || ':' || k || ':' || CASE WHEN success THEN 'True' ELSE 'False' END) AS output_hash FROM b1""")
 def synthetic_times(spark, sf_dir):
     """Times from the latencies before each event, and digests for missing output hashes."""
     ev = bind.events(spark, sf_dir).running(exclusive=True, _before=("sum", F.col("latency_ms")))
@@ -112,8 +112,8 @@ def message_flags(spark, sf_dir):
         text.rlike(tx.POSITIVE_CLOSE).alias("positive"), text.rlike(tx.NEGATIVE_CLOSE).alias("negative"), tx.error_origin(error).alias("error_origin"))
 
 
-@query("error_results", f"""WITH {B2} SELECT session_id, turn, contains(lower(left(text, 300)), 'error') OR contains(lower(left(text, 300)), 'traceback') AS is_error,
-  left(trim(split_part(split_part(text, chr(10), 1), ' && ', 1)), 80) AS command FROM b2 WHERE role = 'user'""")
+@query("error_results", f"""WITH {B2} SELECT session_id, turn, contains(lower(text), 'error') OR contains(lower(text), 'traceback') AS is_error,
+  trim(split_part(split_part(text, chr(10), 1), ' && ', 1)) AS command FROM b2 WHERE role = 'user'""")
 def error_results(spark, sf_dir):
     ev = bind.turns(spark, sf_dir)
     return ev.df.where("role = 'user'").select("session_id", "turn", tx.is_error_result(F.lit(False), F.col("text")).alias("is_error"),

@@ -11,13 +11,15 @@ from trajlens.plans.sqltext import LR, b1
 from trajlens.sources import bind
 
 AUTH = "CASE label_status WHEN 'adjudicated' THEN 4 WHEN 'human_reviewed' THEN 3 WHEN 'auto_labeled' THEN 2 ELSE 1 END"
-GT = LR + f""", ra AS (SELECT *, left(session_id, 8) AS prefix, {AUTH} AS auth FROM lr),
-best AS (SELECT * FROM ra QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY auth DESC, seq) = 1),
-clean AS (SELECT prefix FROM best WHERE auth >= 3 AND annotator_type IN ('human', 'adjudicated') AND NOT has_failure),
-canon AS (SELECT prefix, arg_max(session_id, length(session_id)) AS canonical_id, count(DISTINCT session_id) AS ids FROM ra GROUP BY prefix),
-gt AS (SELECT canonical_id AS session_id, code, onset_step, is_latent, label_status = 'auto_labeled' AS is_draft FROM (
-   SELECT * FROM ra WHERE has_failure AND auth >= 2 AND code <> '' AND prefix NOT IN (SELECT prefix FROM clean)
-   QUALIFY row_number() OVER (PARTITION BY prefix, code ORDER BY auth DESC, seq) = 1) JOIN canon USING (prefix))"""
+CANON = LR + """, fu AS (SELECT left(session_id, 8) AS short, count(*) AS n, max(session_id) AS only_id
+   FROM (SELECT DISTINCT session_id FROM lr WHERE length(session_id) > 8) GROUP BY 1),
+rc AS (SELECT lr.*, CASE WHEN n = 1 THEN only_id ELSE session_id END AS canonical_id, coalesce(n > 1, false) AS ambiguous FROM lr LEFT JOIN fu ON session_id = short)"""
+GT = CANON + f""", ra AS (SELECT *, {AUTH} AS auth FROM rc),
+best AS (SELECT * FROM ra QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY auth DESC, seq) = 1),
+clean AS (SELECT canonical_id FROM best WHERE auth >= 3 AND annotator_type IN ('human', 'adjudicated') AND NOT has_failure),
+gt AS (SELECT canonical_id AS session_id, code, onset_step, is_latent, label_status = 'auto_labeled' AS is_draft FROM ra
+   WHERE has_failure AND auth >= 2 AND code <> '' AND canonical_id NOT IN (SELECT canonical_id FROM clean)
+   QUALIFY row_number() OVER (PARTITION BY canonical_id, code ORDER BY auth DESC, seq) = 1)"""
 
 
 def records(spark, sf_dir):
@@ -29,7 +31,7 @@ def ground_truth(spark, sf_dir):
     return lb.ground_truth(records(spark, sf_dir))
 
 
-@query("canonical_ids", f"WITH {GT} SELECT * FROM canon")
+@query("canonical_ids", f"WITH {CANON} SELECT canonical_id, count(DISTINCT session_id) AS ids, bool_or(ambiguous) AS ambiguous FROM rc GROUP BY 1")
 def canonical_ids(spark, sf_dir):
     return lb.canonical_ids(records(spark, sf_dir))
 
@@ -86,9 +88,9 @@ def record_issues(spark, sf_dir):
     return lb.issues(records(spark, sf_dir), [c for c in bind.CODES if c])
 
 
-@query("ledger_quality", f"""WITH {LR}, p AS (SELECT left(session_id, 8) AS prefix, count(*) AS n, bool_and(annotator_type = 'detector') AS d,
+@query("ledger_quality", f"""WITH {CANON}, p AS (SELECT canonical_id, count(*) AS n, bool_and(annotator_type = 'detector') AS d,
   bool_or(label_status IN ('human_reviewed', 'adjudicated') AND NOT has_failure) AS c, bool_or(label_status IN ('human_reviewed', 'adjudicated') AND has_failure) AS b,
-  bool_or(label_status = 'auto_labeled') AS dr, bool_or(label_status IN ('human_reviewed', 'adjudicated')) AS t, count(DISTINCT session_id) AS ids FROM lr GROUP BY 1)
+  bool_or(label_status = 'auto_labeled') AS dr, bool_or(label_status IN ('human_reviewed', 'adjudicated')) AS t, count(DISTINCT session_id) AS ids FROM rc GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS records, count(*) AS sessions, count(*) FILTER (WHERE d) AS detector_only, count(*) FILTER (WHERE c AND b) AS conflicting,
   count(*) FILTER (WHERE dr AND NOT t) AS draft_only, count(*) FILTER (WHERE ids > 1) AS mixed_ids, count(*) FILTER (WHERE t) AS trusted FROM p""")
 def ledger_quality(spark, sf_dir):

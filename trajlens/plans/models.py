@@ -42,7 +42,7 @@ def ridge_gate(spark, sf_dir):
     """Share of each feature that tool counts alone explain; 0.80 or more fails the gate."""
     names = [*AWARE, "entropy", *[f"tac_{c}" for c in COHERENT]]
     r2 = md.ridge_cv(feature_table(spark, sf_dir), TOOLS, names)
-    return spark.createDataFrame([(n, round(v, 6), v < 0.8) for n, v in r2.items()], "feature string, r2 double, passes boolean")
+    return spark.createDataFrame([(n, None if v is None else round(v, 6), None if v is None else v < 0.8) for n, v in r2.items()], "feature string, r2 double, passes boolean")
 
 
 @query("outcome_null_test")
@@ -55,7 +55,7 @@ def outcome_gain(spark, sf_dir):
     df = feature_table(spark, sf_dir)
     base = md.logistic_cv(df, "session_id", TOOLS, "target")
     full = md.logistic_cv(df, "session_id", [*TOOLS, *[f"tac_{c}" for c in COHERENT]], "target")
-    return md.decision(md.bootstrap_auc_gain(base, full, 200))
+    return md.decision(md.bootstrap_auc_gain(base, full, 200), 0.03)
 
 
 @query("graded_rank_correlation")

@@ -58,8 +58,8 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
 
 
-def _short_hash(text: Column, n: int = 8) -> Column:
-    return F.substring(F.md5(text), 1, n)
+def _hash(text: Column) -> Column:
+    return F.md5(text)
 
 
 def _events(rows: DataFrame, order: list[str], **cols: Column) -> Ordered:
@@ -101,7 +101,7 @@ def block_messages(records: DataFrame) -> Ordered:
         type=F.when(use | result, "tool_call").when(kind == "thinking", "planning").otherwise("reasoning"),
         tool=F.when(use, F.coalesce("name", F.lit("unknown_tool"))).when(result, F.coalesce("tool_use_id", F.lit("tool_result"))),
         success=F.when(result, ~F.col("is_error")).otherwise(True), tokens_in=F.when(use, words(F.col("input"))).otherwise(0),
-        tokens_out=F.when(use, 0).otherwise(words(F.col("body"))), output_hash=F.when(use, _short_hash(F.coalesce("input", F.lit("{}")))),
+        tokens_out=F.when(use, 0).otherwise(words(F.col("body"))), output_hash=F.when(use, _hash(F.coalesce("input", F.lit("{}")))),
         error_message=F.when(result & F.col("is_error"), F.col("body")))
 
 
@@ -131,7 +131,7 @@ def call_messages(records: DataFrame) -> Ordered:
         said.unionByName(called).unionByName(answered), ["line", "at"],
         type=F.when(F.col("kind") == "text", "reasoning").otherwise("tool_call"), tool=F.col("name"),
         tokens_in=F.when(call, words(F.col("arguments"))).otherwise(0), tokens_out=F.when(call, 0).otherwise(words(F.col("content"))),
-        output_hash=F.when(call, _short_hash(F.col("arguments"))))
+        output_hash=F.when(call, _hash(F.col("arguments"))))
 
 
 def callback_runs(records: DataFrame) -> Ordered:
@@ -143,7 +143,7 @@ def callback_runs(records: DataFrame) -> Ordered:
         r, ["line"], type=F.when(kind == "llm", "reasoning").when(kind == "chain", "planning").otherwise("tool_call"),
         tool=F.when(kind != "llm", tool), latency_ms=F.coalesce(F.col("latency_ms").cast("double"), F.lit(0.0)), success=F.col("error").isNull(),
         tokens_in=F.coalesce(F.col("total_tokens").cast("long"), words(F.col("inputs"))), tokens_out=words(F.col("outputs")),
-        output_hash=F.when(kind == "tool", _short_hash(F.coalesce("outputs", F.lit("{}")))), error_message=F.col("error"))
+        output_hash=F.when(kind == "tool", _hash(F.coalesce("outputs", F.lit("{}")))), error_message=F.col("error"))
 
 
 def session_records(records: DataFrame) -> Ordered:
@@ -175,7 +175,7 @@ def session_records(records: DataFrame) -> Ordered:
     rows = said.unionByName(typed).join(last, ["session_id", "use_id"], "left").join(started, "session_id", "left")
     use = F.col("what") == "tool_use"
     gap = (F.unix_micros("r.done") - F.unix_micros("ts")) / 1000.0
-    given = F.substring(F.md5("input"), 1, 12)
+    given = F.md5("input")
     failed = use & F.coalesce("r.failed", F.lit(False))
     return _events(
         rows, ["line", "at"],
@@ -183,19 +183,19 @@ def session_records(records: DataFrame) -> Ordered:
         tool=F.when(use, F.col("name")), latency_ms=F.when(use, F.greatest(F.coalesce(gap, F.lit(0.0)), F.lit(0.0))).otherwise(0.0), success=~failed,
         tokens_in=F.when(use, F.coalesce("tin", F.lit(0))).otherwise(0), tokens_out=F.when(F.col("what") == "user", 0).otherwise(F.coalesce("tout", F.lit(0))),
         timestamp=F.greatest((F.unix_micros("ts") - F.unix_micros("t0")) / 1e6, F.lit(0.0)),
-        output_hash=F.when(use, F.coalesce(F.when(F.col("r.result") != "", F.substring(F.md5(F.substring("r.result", 1, 2000)), 1, 12)), given)),
+        output_hash=F.when(use, F.coalesce(F.when(F.col("r.result") != "", F.md5("r.result")), given)),
         input_hash=F.when(use, given),
-        goal_text=F.when(use, goal_of_input(F.col("name"), F.col("input"))).when(F.col("what") == "user", F.substring("body", 1, 200)).otherwise(
+        goal_text=F.when(use, goal_of_input(F.col("name"), F.col("input"))).when(F.col("what") == "user", F.col("body")).otherwise(
             goal_of_thought(F.col("body"))),
-        error_message=F.when(failed, F.substring("r.result", 1, 500)))
+        error_message=F.when(failed, F.col("r.result")))
 
 
 def goal_of_thought(text: Column) -> Column:
-    """The first sentence or line of 11-199 characters, else the first 200 characters."""
+    """The first sentence or line of 11-199 characters, else the whole text."""
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     dot, line = F.locate(".", t) - 1, F.locate("\n", t) - 1
     return (F.when((dot > 10) & (dot < 200), F.substring(t, F.lit(1), dot + 1)).when((line > 10) & (line < 200), F.substring(t, F.lit(1), line + 1))
-            .when(F.length(t) > 10, F.substring(t, 1, 200)))
+            .when(F.length(t) > 10, t))
 
 
 def short_path(path: Column) -> Column:
@@ -208,8 +208,8 @@ def short_path(path: Column) -> Column:
 
 def goal_of_input(tool: Column, data: Column) -> Column:
     """What a tool call is for, read from its input."""
-    def get(name: str, n: int = 200) -> Column:
-        return F.nullif(F.substring(F.get_json_object(data, f"$.{name}"), 1, n), F.lit(""))
+    def get(name: str) -> Column:
+        return F.nullif(F.get_json_object(data, f"$.{name}"), F.lit(""))
 
     path = short_path(F.get_json_object(data, "$.file_path"))
 
@@ -218,12 +218,12 @@ def goal_of_input(tool: Column, data: Column) -> Column:
         return F.when(text == "", 0).otherwise(F.size(F.split(text, "\n")))
 
     edit = F.concat(path, F.lit(" (+"), lines("new_string").cast("string"), F.lit("/-"), lines("old_string").cast("string"), F.lit(" lines)"))
-    within = F.concat(F.lit(" in "), short_path(get("path", 10_000)))
+    within = F.concat(F.lit(" in "), short_path(get("path")))
     return (F.when(tool == "Task", F.coalesce(get("description"), get("prompt"))).when(tool.isin("Read", "Write"), F.nullif(path, F.lit("")))
-            .when(tool == "Edit", edit).when(tool == "Bash", F.coalesce(get("description", 120), get("command", 120)))
-            .when(tool == "Grep", F.concat(F.lit("/"), get("pattern", 80), F.lit("/"), F.coalesce(within, F.lit(""))))
-            .when(tool == "Glob", F.concat(get("pattern", 80), F.coalesce(within, F.lit(""))))
-            .when(tool == "WebSearch", F.concat(F.lit('"'), get("query", 120), F.lit('"'))).when(tool == "WebFetch", get("url", 120)))
+            .when(tool == "Edit", edit).when(tool == "Bash", F.coalesce(get("description"), get("command")))
+            .when(tool == "Grep", F.concat(F.lit("/"), get("pattern"), F.lit("/"), F.coalesce(within, F.lit(""))))
+            .when(tool == "Glob", F.concat(get("pattern"), F.coalesce(within, F.lit(""))))
+            .when(tool == "WebSearch", F.concat(F.lit('"'), get("query"), F.lit('"'))).when(tool == "WebFetch", get("url")))
 
 
 def formats(records: DataFrame) -> DataFrame:
@@ -257,10 +257,16 @@ def observable_kind(kind: Column, tool: Column) -> Column:
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON-lines ledger; lines that do not parse are dropped."""
+    """A JSON-lines ledger; lines that do not parse are left out, ``bad_ledger_lines`` has them."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def bad_ledger_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines of a JSON-lines ledger that do not parse, as they are written."""
+    parsed = spark.read.text(path).select(F.from_json("value", f"{schema}, _corrupt_record string").alias("r"))
+    return parsed.where("r._corrupt_record IS NOT NULL").select(F.col("r._corrupt_record").alias("line"))
+
+
 def read_sweep(spark: SparkSession, path: str) -> DataFrame:
     """Rows (variant, z, tpr, fpr, accuracy, latency) of a threshold-sweep summary."""
     series = "struct<tpr: array<double>, fpr: array<double>, sig_accuracy: array<double>, latency_median: array<double>>"

@@ -27,9 +27,14 @@ def read_json(spark: SparkSession, folder: str, schema: T.StructType | str, file
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table of a folder of parquet files as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """One table of a folder as a stream: a folder of part files or a single file."""
+    table = f"{folder}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(table).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(table)
+    # A stream reads folders, so a single file is picked by its name.
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def read_parts(spark: SparkSession, folder: str) -> DataFrame:
