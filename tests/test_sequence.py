@@ -76,3 +76,20 @@ def test_quantiles(spark, chunk):
         assert r["n"] == len(values[r["g"]])
         assert r["q1"] == pytest.approx(np.percentile(values[r["g"]], 25))
         assert r["q9"] == pytest.approx(np.percentile(values[r["g"]], 90))
+
+
+@pytest.mark.parametrize("name", ["sliding_entropy", "detect_stall", "kruskal_wallis", "phase_machine", "stale_reads", "metric_anomalies"])
+def test_a_stated_longest_session_needs_no_job_to_plan(spark, name):
+    from trajlens.plans import QUERIES
+    from trajlens.sequence import LONGEST_SETTING
+
+    spark.sparkContext.setJobGroup(f"plan-{name}", name)
+    spark.conf.set(LONGEST_SETTING, "1000")
+    try:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"plan-{name}")
+    finally:
+        spark.conf.unset(LONGEST_SETTING)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Reading a table's schema is a job of its own; nothing is counted.
+    assert len(jobs) <= 2

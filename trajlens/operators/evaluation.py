@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlens.operators.stats import first_by
+from trajlens.operators.stats import first_by, quantiles
 
 
 def prf(tp: Column, fp: Column, fn: Column, empty: str = "agree") -> tuple[Column, Column, Column]:
@@ -126,12 +126,16 @@ def hit_rates(hits: DataFrame) -> DataFrame:
         F.struct(F.lit("domain").alias("level"), F.col("domain").alias("name")))).alias("g"),
         latency.alias("latency"), "correct")
     detected = F.count("latency")
-    return rows.groupBy("g.level", "g.name").agg(
+    rows = rows.select("g.level", "g.name", "latency", "correct")
+    # Exact, and not in one task's memory: the level "overall" holds every row.
+    median = quantiles(rows, ["level", "name"], "latency", {"_median": 0.5}).drop("n")
+    per = rows.groupBy("level", "name").agg(
         F.count("*").alias("total"), detected.alias("detected"), F.round(detected / F.count("*"), 4).alias("tpr"),
         F.round(F.count(F.when(F.col("correct"), 1)) / F.greatest(detected, F.lit(1)), 4).alias("signature_accuracy"),
         F.round(F.coalesce(F.avg("latency"), F.lit(0.0)), 4).alias("latency_mean"),
-        F.round(F.coalesce(F.percentile("latency", F.lit(0.5)), F.lit(0.0)), 4).alias("latency_median"),
         F.round(F.coalesce(F.stddev_samp("latency"), F.lit(0.0)), 4).alias("latency_std"))
+    return per.join(median, ["level", "name"], "left").withColumn(
+        "latency_median", F.round(F.coalesce("_median", F.lit(0.0)), 4)).drop("_median")
 
 
 def mark_agreement(marks: DataFrame, named: DataFrame, window: int = 15) -> DataFrame:

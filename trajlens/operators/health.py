@@ -55,10 +55,13 @@ def plan_deviation(ev: Ordered, expected: dict[str, tuple[float, float]], limit:
         *ev.keys, F.col(ev.order), "phase", F.round("action_entropy", 3).alias("entropy"), F.round(z + 1e-9, 2).alias("z_score"))
 
 
-def evaluation_learning(grades: DataFrame, found: DataFrame, failing: float = 0.7) -> DataFrame:
+def evaluation_learning(grades: DataFrame, found: DataFrame, failing: float = 0.7, bucket: int = 256) -> DataFrame:
     """Graded step ranges with the anomalies inside: learned signatures or a detection gap."""
     poor = grades.where(F.col("score") < failing)
-    inside = poor.join(found, "session_id").where(F.col("step").between(F.col("from_step"), F.col("to_step")))
+    # Ranges and anomalies meet in buckets of steps, so a session with many of both is spread over its buckets.
+    spread = poor.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("from_step") / bucket), F.floor(F.greatest("from_step", "to_step") / bucket))))
+    inside = spread.join(found.withColumn("_bucket", F.floor(F.col("step") / bucket)), ["session_id", "_bucket"]).where(
+        F.col("step").between(F.col("from_step"), F.col("to_step")))
     learned = inside.groupBy("signature").agg(F.count("*").alias("patterns"), F.count_distinct("session_id", "sprint").alias("sprints"))
     hits = inside.groupBy("session_id", "sprint").agg(F.count("*").alias("_n"))
     gaps = poor.join(hits, ["session_id", "sprint"], "left_anti").agg(F.count("*").alias("patterns"), F.count_distinct("session_id", "sprint").alias("sprints"))

@@ -15,6 +15,7 @@ from trajlens.operators import phases as ph
 from trajlens.plans.baselines import DIST, MET, METRICS, SIG, SPLIT, measured, signed, split_shares
 from trajlens.plans.functions import OB, observable
 from trajlens.plans.phases import NAME, phased, segment_table
+from trajlens.operators import stats as st
 from trajlens.plans.registry import query
 from trajlens.plans.sqltext import LR, b1t
 from trajlens.sequence import Ordered
@@ -228,7 +229,9 @@ def baseline_comparison(spark, sf_dir):
     total = m.df.select("session_id").distinct().count()
     out = None
     for name, f in fires.items():
-        part = f.agg(F.lit(name).alias("baseline"), F.round(F.count("*") / float(total), 4).alias("fire_rate"),
-                     F.percentile_approx("first_step", 0.5).alias("median_step"), (F.max("first_step") - F.min("first_step")).alias("spread"))
+        part = f.select(F.lit(name).alias("baseline"), "first_step")
         out = part if out is None else out.unionByName(part)
+    median = st.quantiles(out, ["baseline"], "first_step", {"median_step": 0.5}).drop("n")
+    out = out.groupBy("baseline").agg(F.round(F.count("*") / float(total), 4).alias("fire_rate"),
+                                      (F.max("first_step") - F.min("first_step")).alias("spread")).join(median, "baseline", "left")
     return out.withColumn("artifact", (F.col("fire_rate") >= 0.8) & (F.col("spread") <= 120))

@@ -21,6 +21,7 @@ from trajlens.session import durable
 
 CHUNK_ROWS = 200_000
 CHUNK_SETTING = "spark.trajlens.chunkRows"
+LONGEST_SETTING = "spark.trajlens.longestSession"
 
 # A column over the session window, or (extra partition columns, column over that window).
 Framed = Callable[[WindowSpec], Column] | tuple[tuple[str, ...], Callable[[WindowSpec], Column]]
@@ -31,12 +32,28 @@ def chunk_limit(df: DataFrame, given: int | None = None) -> int:
     return given or int(df.sparkSession.conf.get(CHUNK_SETTING, str(CHUNK_ROWS)))
 
 
+def stated_longest(df: DataFrame) -> int | None:
+    """The longest session a caller or a catalogue states, so that nothing has to be counted."""
+    value = df.sparkSession.conf.get(LONGEST_SETTING, None)
+    return int(value) if value else None
+
+
 def longest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """Rows in the largest group and in total; one aggregate with map-side combine."""
-    row = (
-        df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    )
-    return int(row[0] or 0), int(row[1] or 0)
+    """Rows in the largest group and in total.
+
+    Where ``spark.trajlens.longestSession`` states a bound, that is taken and no job
+    runs. Else it is one aggregate with map-side combine, remembered for the session
+    by plan and keys; the numbers choose how rows are dealt out and never change a result.
+    """
+    stated = stated_longest(df)
+    if stated is not None:
+        return stated, stated
+    known = df.sparkSession.__dict__.setdefault("_trajlens_sizes", {})
+    key = (df.semanticHash(), *keys)
+    if key not in known:
+        row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+        known[key] = int(row[0] or 0), int(row[1] or 0)
+    return known[key]
 
 
 def number_rows(
@@ -93,8 +110,10 @@ class Ordered:
     @staticmethod
     def of(df: DataFrame, keys: Sequence[str] = ("session_id",), order: str = "step",
            chunk_rows: int | None = None) -> "Ordered":
-        """Wrap a table whose ``order`` is already dense and 1-based; reads its maximum."""
-        longest = int(df.agg(F.max(order)).first()[0] or 0)
+        """Wrap a table whose ``order`` is already dense and 1-based; reads its maximum unless a bound is stated."""
+        longest = stated_longest(df)
+        if longest is None:
+            longest = int(df.agg(F.max(order)).first()[0] or 0)
         return Ordered(df, tuple(keys), order, longest, chunk_limit(df, chunk_rows))
 
     @property

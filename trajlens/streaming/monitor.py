@@ -109,7 +109,7 @@ def session_profile(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return events.groupBy(F.col("user_id").alias("session_id")).agg(
         F.count("*").alias("events"), F.count(F.when(kind == "error", 1)).alias("errors"),
-        F.approx_count_distinct("event_type").alias("types"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        F.size(F.collect_set("event_type")).cast("long").alias("types"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def merge_sources(*streams: DataFrame, delay: str = "10 minutes") -> DataFrame:
