@@ -202,3 +202,24 @@ def kappa_band(k: Column) -> Column:
 def effect_band(d: Column) -> Column:
     a = F.abs(d)
     return F.when(a < 0.2, "negligible").when(a < 0.5, "small").when(a < 0.8, "medium").otherwise("large")
+
+
+def call_signature(tool: Column, data: Column) -> Column:
+    """One text for a call's tool and input, so that literal repeats can be told.
+
+    ``data`` is the input as JSON. Commands count by their first line with spaces
+    collapsed, file tools by path, searches by pattern and place, other tools by
+    their whole input with sorted keys. Texts are kept whole, so long calls that
+    differ late stay different.
+    """
+    name = F.lower(F.coalesce(tool, F.lit("")))
+
+    def get(key: str) -> Column:
+        return F.coalesce(F.get_json_object(data, f"$.{key}"), F.lit(""))
+
+    line = stripped(F.regexp_replace(F.element_at(F.split(get("command"), "\n"), 1), r"\s+", " "))
+    pairs = F.array_sort(F.map_entries(F.from_json(data, "map<string, string>")))
+    other = F.coalesce(F.to_json(F.map_from_entries(pairs)), data, F.lit("{}"))
+    body = (F.when(name == "bash", line).when(name.isin("read", "edit", "write", "notebookedit"), get("file_path"))
+            .when(name.isin("grep", "glob"), F.concat(get("pattern"), F.lit(":"), get("path"))).otherwise(other))
+    return F.concat(name, F.lit(":"), body)

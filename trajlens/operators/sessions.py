@@ -113,6 +113,23 @@ def signals(ev: Ordered) -> DataFrame:
                          ((counts["errors"] > 0) & final.isNull()).alias("abandoned"))
 
 
+def call_signals(calls: DataFrame) -> DataFrame:
+    """Per session: tasks created and completed, undone work and results of its tool calls.
+
+    ``calls`` has ``session_id, tool, input`` (JSON) and ``has_result``.
+    """
+    done = F.lower(F.get_json_object("input", "$.status")) == "completed"
+    command = F.coalesce(F.get_json_object("input", "$.command"), F.lit(""))
+
+    def n(condition: Column) -> Column:
+        return F.count(F.when(condition, 1))
+
+    return calls.groupBy("session_id").agg(
+        F.count("*").alias("tool_calls"), n(F.col("has_result")).alias("tool_results"), n(F.col("tool") == "TaskCreate").alias("tasks_created"),
+        n((F.col("tool") == "TaskUpdate") & done).alias("tasks_completed"),
+        n((F.col("tool") == "Bash") & command.rlike(tx.GIT_UNDO)).alias("git_undo"))
+
+
 def signal_ratings(found: DataFrame) -> DataFrame:
     """Signals as ratings; what a trace cannot show stays without a value."""
     loop = F.col("literal_loop_max")

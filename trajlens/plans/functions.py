@@ -176,3 +176,38 @@ SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 4 HOURS AS ended, count(*
 def activity_sessions(spark, sf_dir):
     from trajlens.streaming.windows import activity
     return activity(bind.raw_events(spark, sf_dir), "4 hours", "user_id")
+
+
+# Calls with inputs of every kind the signature tells apart, from the events.
+RAW_CALLS = f"""{b1()}, rc AS (SELECT session_id, step, event_type, k,
+  CASE k % 8 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Read' WHEN 2 THEN 'Grep' WHEN 3 THEN 'TaskUpdate' WHEN 4 THEN 'TaskCreate' WHEN 5 THEN 'Edit' WHEN 6 THEN 'Glob' ELSE 'Fetch' END AS tool FROM b1)"""
+
+
+def raw_calls(spark, sf_dir):
+    k = F.col("k")
+    tool = pick(["Bash", "Read", "Grep", "TaskUpdate", "TaskCreate", "Edit", "Glob", "Fetch"], k % 8)
+    command = F.concat(F.when(k % 3 == 0, "git reset --hard ").otherwise("run  the\t"), (k % 5).cast("string"), F.lit("\nsecond line"))
+    data = F.to_json(F.struct(
+        F.when(k % 8 == 0, command).alias("command"), F.when((k % 8).isin(1, 5), F.concat(F.lit("/src/f"), (k % 7).cast("string"))).alias("file_path"),
+        F.when((k % 8).isin(2, 6), F.concat(F.lit("p"), (k % 4).cast("string"))).alias("pattern"), F.when(k % 8 == 2, "src").alias("path"),
+        F.when(k % 8 == 3, F.when(k % 2 == 1, "Completed").otherwise("open")).alias("status"),
+        F.when(k % 8 == 7, (k % 3).cast("string")).alias("z"), F.when(k % 8 == 7, "u").alias("a")))
+    events = bind.trace_events(spark, sf_dir).df
+    return events.select("session_id", "step", "event_type", "k").withColumns(
+        {"tool": tool, "input": data, "has_result": F.col("event_type") != "signup"})
+
+
+@query("call_signatures", f"""WITH {RAW_CALLS} SELECT session_id, step, lower(tool) || ':' || CASE tool
+  WHEN 'Bash' THEN CASE WHEN k % 3 = 0 THEN 'git reset --hard ' ELSE 'run the ' END || (k % 5) WHEN 'Read' THEN '/src/f' || (k % 7) WHEN 'Edit' THEN '/src/f' || (k % 7)
+  WHEN 'Grep' THEN 'p' || (k % 4) || ':src' WHEN 'Glob' THEN 'p' || (k % 4) || ':' WHEN 'TaskUpdate' THEN '{{"status":"' || CASE WHEN k % 2 = 1 THEN 'Completed' ELSE 'open' END || '"}}'
+  WHEN 'TaskCreate' THEN '{{}}' ELSE '{{"a":"u","z":"' || (k % 3) || '"}}' END AS signature FROM rc""")
+def call_signatures(spark, sf_dir):
+    return raw_calls(spark, sf_dir).select("session_id", "step", tx.call_signature(F.col("tool"), F.col("input")).alias("signature"))
+
+
+@query("call_signals", f"""WITH {RAW_CALLS} SELECT session_id, count(*) AS tool_calls, count(*) FILTER (WHERE event_type <> 'signup') AS tool_results,
+  count(*) FILTER (WHERE tool = 'TaskCreate') AS tasks_created, count(*) FILTER (WHERE tool = 'TaskUpdate' AND k % 2 = 1) AS tasks_completed,
+  count(*) FILTER (WHERE tool = 'Bash' AND k % 3 = 0) AS git_undo FROM rc GROUP BY session_id""")
+def call_signals(spark, sf_dir):
+    from trajlens.operators.sessions import call_signals as per_session
+    return per_session(raw_calls(spark, sf_dir))
