@@ -78,6 +78,18 @@ def test_binomial(spark):
     assert row["p_value"] == pytest.approx(11 / 1024) and row["low"] == pytest.approx(0.6058, abs=1e-3)
 
 
+def test_binomial_tail_equals_the_sum():
+    from math import exp, lgamma, log
+
+    rnd = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(rnd.integers(1, 300))
+        x, p = int(rnd.integers(1, n + 1)), float(rnd.random() * 0.98 + 0.01)
+        want = sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(x, n + 1))
+        assert float(md.binomial_tail(x, n, p)) == pytest.approx(want, abs=1e-11)
+    assert md.binomial_tail(600_000, 1_000_000, 0.5) < 1e-300 and md.binomial_tail([0, 3], [5, 2], [0.5, 0.5]).tolist() == [1.0, 0.0]
+
+
 def test_selection_key_matches_digest(spark):
     import hashlib
     from trajlens.functions.text import selection_key

@@ -348,31 +348,57 @@ def bootstrap_detector_scores(matches: DataFrame, replicates: int) -> DataFrame:
                                        F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"))
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for x >= 1, by Stirling's series after shifting to x + 8."""
+    shift = sum(np.log(x + i) for i in range(8))
+    z = x + 8
+    inverse = 1 / (z * z)
+    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse / 1188)))) / z
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - shift
+
+
+def binomial_tail(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(X >= x) of binomial(n, p), as the incomplete beta function by its continued fraction.
+
+    The work does not grow with n.
+    """
+    x, n, p = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(x, n, p))
+    out = np.where(x <= 0, 1.0, np.where(p >= 1, (x <= n).astype(float), 0.0))
+    inside = (x > 0) & (x <= n) & (p > 0) & (p < 1)
+    if not inside.any():
+        return out
+    a, b, q = x[inside], (n - x + 1)[inside], p[inside]
+    turned = q > (a + 1) / (a + b + 2)   # the fraction converges fast on the other side
+    a, b, q = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - q, q)
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(q) + b * np.log1p(-q)) / a
+    tiny = 1e-300
+    c, d = np.ones_like(a), 1 / np.where(np.abs(1 - (a + b) * q / (a + 1)) < tiny, tiny, 1 - (a + b) * q / (a + 1))
+    h = d.copy()
+    for m in range(1, 10_000):
+        before = h.copy()
+        for term in (m * (b - m) * q / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * q / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + term * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + term / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if np.all(np.abs(h - before) <= 1e-15 * np.abs(h)):
+            break
+    out[inside] = np.clip(np.where(turned, 1 - front * h, front * h), 0, 1)
+    return out
+
+
 def binomial_test(df: DataFrame, hits: str, total: str, p0: float, level: float = 0.95) -> DataFrame:
     """One-sided exact binomial test of ``hits`` in ``total`` against ``p0`` and its lower bound."""
-    from math import exp, lgamma, log
-
-    def tail(x: int, n: int, p: float) -> float:
-        if x <= 0:
-            return 1.0
-        if p <= 0:
-            return 0.0
-        if p >= 1:
-            return 1.0
-        return min(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p))
-                            for i in range(x, n + 1)))
-
-    def bound(x: int, n: int) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if tail(x, n, mid) < 1 - level else (lo, mid)
-        return lo if x > 0 else 0.0
-
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pairs = list(zip(pdf[hits].astype(int), pdf[total].astype(int)))
-            yield pdf.assign(p_value=[tail(x, n, p0) for x, n in pairs], low=[bound(x, n) for x, n in pairs])
+            x, n = pdf[hits].to_numpy(float), pdf[total].to_numpy(float)
+            lo, hi = np.zeros(len(x)), np.ones(len(x))
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                below = binomial_tail(x, n, mid) < 1 - level
+                lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+            yield pdf.assign(p_value=binomial_tail(x, n, np.full(len(x), p0)), low=np.where(x > 0, lo, 0.0))
 
     from pyspark.sql import types as T
     schema = T.StructType([*df.schema.fields, T.StructField("p_value", T.DoubleType()), T.StructField("low", T.DoubleType())])

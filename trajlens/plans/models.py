@@ -10,7 +10,7 @@ from trajlens.operators import agreement as ag
 from trajlens.operators import evaluation as ev
 from trajlens.operators import models as md
 from trajlens.operators import trajectories as tj
-from trajlens.plans.evaluation import found, truth
+from trajlens.plans.evaluation import DET, found, truth
 from trajlens.plans.features import COHERENCE
 from trajlens.plans.registry import query
 from trajlens.plans.sqltext import b1
@@ -84,11 +84,23 @@ def detector_cross_validation(spark, sf_dir):
     return per.groupBy("failure").agg(F.round(F.avg("f1"), 4).alias("mean_f1"), F.round(F.stddev_pop("f1"), 4).alias("std_f1"), F.count("*").alias("folds"))
 
 
-@query("binomial_hit_test")
+def _tail(p: str) -> str:
+    """P(X >= hits) of binomial(total, p) as a sum."""
+    return f"""CASE WHEN hits <= 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(hits, total + 1), lambda i:
+      exp(lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + i * ln({p}) + (total - i) * ln(1 - {p}))))) END"""
+
+
+@query("binomial_hit_test", f"""WITH RECURSIVE {DET},
+bc AS (SELECT failure, count(*) FILTER (WHERE tp_weight > 0) AS hits, count(*) AS total FROM mw WHERE match_type <> 'fp' GROUP BY failure),
+bi AS (SELECT failure, hits, total, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS it FROM bc UNION ALL
+  SELECT failure, hits, total, CASE WHEN t < 0.05 THEN mid ELSE lo END, CASE WHEN t < 0.05 THEN hi ELSE mid END, it + 1
+  FROM (SELECT *, {_tail('mid')} AS t FROM (SELECT *, (lo + hi) / 2 AS mid FROM bi WHERE it < 60)))
+SELECT failure, hits, total, round({_tail('0.5')}, 6) AS p_value, CASE WHEN hits > 0 THEN round(lo, 6) ELSE 0.0 END AS low FROM bi WHERE it = 60""")
 def binomial_hit_test(spark, sf_dir):
     m = ev.match(found(spark, sf_dir), truth(spark, sf_dir)).where("match_type <> 'fp'")
     per = m.groupBy("failure").agg(F.count(F.when(F.col("tp_weight") > 0, 1)).alias("hits"), F.count("*").alias("total"))
-    return md.binomial_test(per, "hits", "total", 0.5)
+    tested = md.binomial_test(per, "hits", "total", 0.5)
+    return tested.withColumns({"p_value": F.round("p_value", 6), "low": F.round("low", 6)})
 
 
 @query("rank_auc", f"""WITH {b1()}, s AS (SELECT session_id, session_id % 3 AS g, session_id % 2 AS y, count(*) FILTER (WHERE NOT success) AS score FROM b1 GROUP BY session_id),
