@@ -58,7 +58,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, normalise: Callabl
         return read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()   # rows that repeat an id and its text come to one task
         for batch in batches:
+            new = [d not in seen and not seen.add(d) for d in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for at in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(at, TEXTS)
                 n = byte_counts(tokenizer, some.column(1).to_pylist())
