@@ -57,12 +57,11 @@ def test_islands_and_substream(spark, chunk):
     assert [r["sub_step"] for r in sub] == list(range(1, 19))
 
 
-def test_collect_is_carried(spark):
+def test_lists_of_all_earlier_rows_are_refused(spark):
     df = spark.createDataFrame([(1, i) for i in range(20)], "session_id long, at long")
-    ev = number_rows(df, ["session_id"], ["at"], chunk_rows=6).running(
-        head=("collect", F.when(F.col("step") <= 8, F.col("at"))))
-    sizes = {r["step"]: len(r["head"]) for r in ev.df.collect()}
-    assert sizes == {s: min(s, 8) for s in range(1, 21)}
+    for chunk in (6, 100):
+        with pytest.raises(KeyError):
+            number_rows(df, ["session_id"], ["at"], chunk_rows=chunk).running(head=("collect", F.col("at")))
 
 
 @pytest.mark.parametrize("chunk", [5, 100_000])

@@ -13,7 +13,6 @@ from trajlens.operators.metrics import window_sums
 from trajlens.sequence import Ordered
 
 # Points per phase reached, trust lost per finding.
-PHASE_POINTS = {0: 0, 1: 20, 2: 40, 3: 60, 4: 80, 5: 100}
 PENALTY = {"info": 0.02, "warning": 0.08, "critical": 0.20}
 
 
@@ -116,7 +115,7 @@ def calibrated_repetition(ev: Ordered, fitted: DataFrame, min_run: int = 4) -> D
         F.count("*").alias("_calls"), F.count(F.when(F.col("_same"), 1)).alias("_same"))
     limits = fitted.where(F.col("metric") == "repetition_rate").select("phase", F.col("n").alias("_fit"), "p95")
     rate = F.col("_same") / F.col("_calls")
-    joined = counts.join(runs, list(ev.keys)).join(phase, list(ev.keys)).join(F.broadcast(limits), "phase")  # one row per phase
+    joined = counts.join(runs, list(ev.keys)).join(phase, list(ev.keys)).join(limits, "phase")
     return joined.where((F.col("at_step") >= 30) & (F.col("_calls") >= 5) & (F.col("_fit") >= 3) & (rate > F.col("p95"))
                         & (F.col("run_length") >= min_run)).select(
         *ev.keys, F.round(F.least(rate / F.greatest(F.col("p95") * 2, F.lit(0.01)), F.lit(1.0)), 4).alias("confidence"), "at_step",
@@ -126,8 +125,8 @@ def calibrated_repetition(ev: Ordered, fitted: DataFrame, min_run: int = 4) -> D
 def calibrated_drift(moves: DataFrame, model: DataFrame, divergence: DataFrame, novel: DataFrame, least: float = 0.5) -> DataFrame:
     """Weighted drift score from rare transitions, tool divergence, new tools and regressions."""
     known = model.select("from_phase").distinct()
-    rare = moves.join(F.broadcast(model.select("from_phase", "to_phase", "is_rare")), ["from_phase", "to_phase"], "left").join(
-        F.broadcast(known.withColumn("_k", F.lit(True))), "from_phase", "left")  # at most one row per pair of the six phases
+    rare = moves.join(model.select("from_phase", "to_phase", "is_rare"), ["from_phase", "to_phase"], "left").join(
+        known.withColumn("_k", F.lit(True)), "from_phase", "left")
     odd = F.col("_k") & F.coalesce("is_rare", F.lit(True))
     per = rare.groupBy("session_id").agg(F.count(F.when(odd, 1)).alias("anomalous_transitions"),
                                          F.count(F.when(F.col("is_regression"), 1)).alias("regressions"))

@@ -151,20 +151,58 @@ def issues(records: DataFrame, codes: list[str]) -> DataFrame:
     return records.select("session_id", "seq", F.array_join(listed, "; ").alias("issues")).where(F.col("issues") != "")
 
 
-def quality_report(records: DataFrame, prefix: int = 8) -> DataFrame:
-    """Ledger-wide warnings: circular, conflicting, draft-only and mixed-id sessions."""
+def quality_report(records: DataFrame, prefix: int = 8, dominant: float = 0.5, enough: int = 10) -> DataFrame:
+    """Ledger-wide warnings: circular, conflicting, draft-only and mixed-id sessions, one code that outweighs the rest, too few reviews.
+
+    ``imbalanced_code`` is the code of more than ``dominant`` of the failure
+    records of sessions that no trusted record calls clean; ``low_sample`` says
+    that fewer than ``enough`` records are reviewed or adjudicated.
+    """
     trusted = F.col("label_status").isin(*TRUSTED)
-    per = with_canonical(records, prefix).groupBy("canonical_id").agg(
+    keyed = with_canonical(records, prefix)
+    per = keyed.groupBy("canonical_id").agg(
         F.count("*").alias("n"), F.bool_and(F.col("annotator_type") == "detector").alias("detector_only"),
         F.bool_or(trusted & ~F.col("has_failure")).alias("_clean"), F.bool_or(trusted & F.col("has_failure")).alias("_bad"),
         F.bool_or(F.col("label_status") == "auto_labeled").alias("_draft"), F.bool_or(trusted).alias("_trusted"),
-        F.count_distinct("session_id").alias("_ids"))
+        F.count(F.when(trusted, 1)).alias("_reviewed"), F.count_distinct("session_id").alias("_ids"))
+    codes = keyed.where("has_failure").join(per.where("_clean").select("canonical_id"), "canonical_id", "left_anti").groupBy("code").agg(
+        F.count("*").alias("_n")).agg(F.max_by("code", "_n").alias("_code"), F.max("_n").alias("_most"), F.sum("_n").alias("_all"))
     def n(c: Column) -> Column:
         return F.count(F.when(c, 1))
-    return per.agg(
+    report = per.agg(
         F.sum("n").alias("records"), F.count("*").alias("sessions"), n(F.col("detector_only")).alias("detector_only"),
         n(F.col("_clean") & F.col("_bad")).alias("conflicting"), n(F.col("_draft") & ~F.col("_trusted")).alias("draft_only"),
-        n(F.col("_ids") > 1).alias("mixed_ids"), n(F.col("_trusted")).alias("trusted"))
+        n(F.col("_ids") > 1).alias("mixed_ids"), n(F.col("_trusted")).alias("trusted"),
+        (F.coalesce(F.sum("_reviewed"), F.lit(0)) < enough).alias("low_sample")).withColumn("_one", F.lit(1))
+    heavy = codes.select(F.when(F.col("_most") > dominant * F.col("_all"), F.col("_code")).alias("imbalanced_code"), F.lit(1).alias("_one"))
+    return report.join(heavy, "_one").drop("_one")
+
+
+def truth_records(traces: DataFrame, codes: DataFrame, annotator: str = "manual") -> DataFrame:
+    """Truth per trace as label records: one per detailed failure, else one per named failure, else one clean record.
+
+    ``traces`` has ``session_id, completed, failures`` (names) and ``details``
+    (structs of ``code, onset_step, severity, confidence, rationale``, whose
+    fields may be null); ``codes`` maps ``failure`` to ``code``, and an unknown
+    name gets an empty code. Null lists are empty.
+    """
+    kind = "array<struct<name: string, code: string, onset_step: int, severity: int, confidence: int, rationale: string>>"
+    names, details = F.coalesce("failures", F.array().cast("array<string>")), F.coalesce("details", F.filter("details", lambda d: F.lit(False)))
+    detailed = F.transform(details, lambda d: F.struct(
+        F.lit(None).cast("string").alias("name"), F.coalesce(d["code"], F.lit("")).alias("code"), F.coalesce(d["onset_step"], F.lit(0)).cast("int").alias("onset_step"),
+        F.coalesce(d["severity"], F.lit(3)).cast("int").alias("severity"), F.coalesce(d["confidence"], F.lit(3)).cast("int").alias("confidence"),
+        F.coalesce(d["rationale"], F.lit("")).alias("rationale"))).cast(kind)
+    named = F.transform(names, lambda n: F.struct(
+        n.alias("name"), F.lit(None).cast("string").alias("code"), F.lit(0).alias("onset_step"), F.lit(3).alias("severity"), F.lit(3).alias("confidence"),
+        F.concat(F.lit("From ground truth actual_failures: "), n).alias("rationale"))).cast(kind)
+    clean = F.array(F.struct(
+        F.lit(None).cast("string").alias("name"), F.lit("").alias("code"), F.lit(0).alias("onset_step"), F.lit(0).alias("severity"), F.lit(5).alias("confidence"),
+        F.concat(F.lit("Clean trace. Completed="), F.when(F.coalesce("completed", F.lit(True)), "True").otherwise("False")).alias("rationale"))).cast(kind)
+    some = F.size(names) > 0
+    rows = traces.select("session_id", some.alias("has_failure"), F.inline(F.when(~some, clean).when(F.coalesce(F.size(details), F.lit(0)) > 0, detailed).otherwise(named)))
+    return rows.join(codes.select(F.col("failure").alias("name"), F.col("code").alias("_code")), "name", "left").select(
+        "session_id", F.lit("human").alias("annotator_type"), F.lit(annotator).alias("annotator_id"), F.lit("human_reviewed").alias("label_status"), "has_failure",
+        F.coalesce("code", "_code", F.lit("")).alias("code"), "onset_step", "severity", "confidence", "rationale")
 
 
 def ledger_stats(records: DataFrame) -> DataFrame:

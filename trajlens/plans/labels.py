@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajlens.functions import text as tx
+from trajlens.functions.taxonomy import failure_types
 from trajlens.operators import labels as lb
 from trajlens.plans.registry import query
 from trajlens.plans.sqltext import LR, b1
@@ -90,8 +91,10 @@ def record_issues(spark, sf_dir):
 
 @query("ledger_quality", f"""WITH {CANON}, p AS (SELECT canonical_id, count(*) AS n, bool_and(annotator_type = 'detector') AS d,
   bool_or(label_status IN ('human_reviewed', 'adjudicated') AND NOT has_failure) AS c, bool_or(label_status IN ('human_reviewed', 'adjudicated') AND has_failure) AS b,
-  bool_or(label_status = 'auto_labeled') AS dr, bool_or(label_status IN ('human_reviewed', 'adjudicated')) AS t, count(DISTINCT session_id) AS ids FROM rc GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS records, count(*) AS sessions, count(*) FILTER (WHERE d) AS detector_only, count(*) FILTER (WHERE c AND b) AS conflicting,
+  bool_or(label_status = 'auto_labeled') AS dr, bool_or(label_status IN ('human_reviewed', 'adjudicated')) AS t, count(DISTINCT session_id) AS ids,
+  count(*) FILTER (WHERE label_status IN ('human_reviewed', 'adjudicated')) AS rv FROM rc GROUP BY 1),
+cc AS (SELECT code, count(*) AS m FROM rc WHERE has_failure AND canonical_id NOT IN (SELECT canonical_id FROM p WHERE c) GROUP BY code)
+SELECT sum(rv) < 10 AS low_sample, (SELECT CASE WHEN max(m) > 0.5 * sum(m) THEN arg_max(code, m) END FROM cc) AS imbalanced_code, CAST(sum(n) AS BIGINT) AS records, count(*) AS sessions, count(*) FILTER (WHERE d) AS detector_only, count(*) FILTER (WHERE c AND b) AS conflicting,
   count(*) FILTER (WHERE dr AND NOT t) AS draft_only, count(*) FILTER (WHERE ids > 1) AS mixed_ids, count(*) FILTER (WHERE t) AS trusted FROM p""")
 def ledger_quality(spark, sf_dir):
     return lb.quality_report(records(spark, sf_dir))
@@ -281,3 +284,23 @@ def balanced_sample_keyed(spark, sf_dir):
     w = Window.partitionBy("target").orderBy("sel_key", "session_id")
     rows = keyed(spark, sf_dir, tx.selection_key).withColumn("_r", F.row_number().over(w)).where("_r <= 40")
     return rows.select("session_id", "target", "sel_key")
+
+
+@query("truth_records", f"""WITH {b1()}, t AS (SELECT session_id, count(*) AS n, max(k) AS top FROM b1 GROUP BY session_id),
+f AS (SELECT *, session_id % 3 <> 0 AS bad, session_id % 3 = 1 AS detailed FROM t)
+SELECT session_id, 'human' AS annotator_type, 'manual' AS annotator_id, 'human_reviewed' AS label_status, bad AS has_failure, '' AS code, 0 AS onset_step, 0 AS severity,
+  5 AS confidence, 'Clean trace. Completed=' || CASE WHEN n % 2 = 0 THEN 'True' ELSE 'False' END AS rationale FROM f WHERE NOT bad
+UNION ALL SELECT session_id, 'human', 'manual', 'human_reviewed', true, c, CASE WHEN c = '4.2' THEN CAST(top AS INT) ELSE 0 END, CASE WHEN c = '4.2' THEN 4 ELSE 3 END, 3,
+  CASE WHEN c = '4.2' THEN 'seen' ELSE '' END FROM f, (VALUES ('4.2'), ('2.1')) v(c) WHERE detailed
+UNION ALL SELECT session_id, 'human', 'manual', 'human_reviewed', true, CASE nm WHEN 'context_loss' THEN '2.1' ELSE '' END, 0, 3, 3, 'From ground truth actual_failures: ' || nm
+  FROM f, (VALUES ('context_loss'), ('something_else')) v(nm) WHERE bad AND NOT detailed""")
+def truth_records(spark, sf_dir):
+    per = bind.raw_events(spark, sf_dir).groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("n"), F.max("k").alias("top"))
+    bad, detailed = F.col("session_id") % 3 != 0, F.col("session_id") % 3 == 1
+    def detail(code, onset, severity, rationale):
+        return F.struct(F.lit(code).alias("code"), onset.cast("int").alias("onset_step"), severity.cast("int").alias("severity"),
+                        F.lit(None).cast("int").alias("confidence"), rationale.cast("string").alias("rationale"))
+    none = F.lit(None)
+    traces = per.select("session_id", (F.col("n") % 2 == 0).alias("completed"), F.when(bad, F.array(F.lit("context_loss"), F.lit("something_else"))).alias("failures"),
+                        F.when(detailed, F.array(detail("4.2", F.col("top"), F.lit(4), F.lit("seen")), detail("2.1", none, none, none))).alias("details"))
+    return lb.truth_records(traces, failure_types(spark))

@@ -182,8 +182,8 @@ class Ordered:
         """Running aggregates from the first row of the session, or back from the last one.
 
         Each spec is ``(kind, column)``; kinds are ``sum``, ``count`` (of non-null
-        values), ``max``, ``min``, ``last`` (non-null) and ``collect`` (non-null
-        values, which the caller must bound). ``exclusive`` leaves out the current row.
+        values), ``max``, ``min`` and ``last`` (non-null). ``exclusive`` leaves out the
+        current row.
         In reverse, ``last`` is the next value that follows.
         """
         end = -1 if exclusive else 0
@@ -277,21 +277,18 @@ def _windowed(kind: str, col: Column, w: WindowSpec) -> Column:
         return F.coalesce(F.sum(col).over(w), F.lit(0))
     if kind == "last":
         return F.last(col, ignorenulls=True).over(w)
-    return {"count": F.count, "max": F.max, "min": F.min, "collect": F.collect_list}[kind](col).over(w)
+    return {"count": F.count, "max": F.max, "min": F.min}[kind](col).over(w)
 
 
 def _grouped(kind: str, col: Column, order: Column) -> Column:
     if kind == "last":
         return F.max_by(col, F.when(col.isNotNull(), order))
-    return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min,
-            "collect": F.collect_list}[kind](col)
+    return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind](col)
 
 
 def _carried(kind: str, col: Column, w: WindowSpec) -> Column:
     if kind == "last":
         return F.last(col, ignorenulls=True).over(w)
-    if kind == "collect":
-        return F.flatten(F.collect_list(col).over(w))
     return {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}[kind](col).over(w)
 
 
@@ -302,6 +299,4 @@ def _combined(kind: str, carry: Column, local: Column) -> Column:
         return F.greatest(carry, local)
     if kind == "min":
         return F.least(carry, local)
-    if kind == "collect":
-        return F.when(carry.isNull(), local).otherwise(F.concat(carry, local))
     return F.coalesce(local, carry)

@@ -283,7 +283,7 @@ def annotation_replies(replies: DataFrame, codes: DataFrame) -> DataFrame:
     bare = F.regexp_replace("reply", r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", "")
     item = "array<struct<session_id: string, has_failure: boolean, code: string, onset_step: int, severity: int, confidence: int>>"
     rows = replies.select(F.inline(F.from_json(bare, item)))
-    known = rows.join(F.broadcast(codes.select("code", F.lit(True).alias("_known"))), "code", "left")
+    known = rows.join(codes.select("code", F.lit(True).alias("_known")), "code", "left")
     failed = F.coalesce("has_failure", F.lit(False))
     wrong = F.filter(F.array(
         F.when(F.col("session_id").isNull(), "missing session"), F.when(F.col("has_failure").isNull(), "missing verdict"),
