@@ -100,3 +100,24 @@ def test_annotation_replies(spark):
 def test_goal_of_thought(spark, text, want):
     from pyspark.sql import functions as F
     assert spark.range(1).select(ad.goal_of_thought(F.lit(text))).first()[0] == want
+
+
+@pytest.mark.parametrize("chunk", [4, 1000])
+def test_results_without_ids_take_the_oldest_call(spark, chunk):
+    import random
+    from collections import deque
+
+    from pyspark.sql import functions as F
+    from trajlens.sequence import number_rows
+
+    rnd = random.Random(4)
+    kinds = [rnd.choice("urx") for _ in range(60)]
+    pending, want = deque(), []
+    for i, k in enumerate(kinds, 1):
+        if k == "u":
+            pending.append(i)
+        elif k == "r":
+            want.append((i, pending.popleft() if pending else None))
+    ev = number_rows(spark.createDataFrame([(1, i, k) for i, k in enumerate(kinds)], "session_id long, at long, kind string"), ["session_id"], ["at"], chunk_rows=chunk)
+    got = ad.first_in_first_out(ev, F.col("kind") == "u", F.col("kind") == "r").orderBy("step").collect()
+    assert [(r["step"], r["use_step"]) for r in got] == want

@@ -211,3 +211,14 @@ def call_signatures(spark, sf_dir):
 def call_signals(spark, sf_dir):
     from trajlens.operators.sessions import call_signals as per_session
     return per_session(raw_calls(spark, sf_dir))
+
+
+@query("first_in_first_out", f"""WITH {b1()}, o AS (SELECT session_id, step, event_type IN ('view', 'signup') AS u, event_type IN ('click', 'error') AS r,
+  sum(CASE WHEN event_type IN ('view', 'signup') THEN 1 WHEN event_type IN ('click', 'error') THEN -1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY step) AS s FROM b1),
+l AS (SELECT *, r AND s < least(0, coalesce(min(s) OVER (PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS orphan FROM o),
+n AS (SELECT *, count(*) FILTER (WHERE u) OVER w AS nu, count(*) FILTER (WHERE r AND NOT orphan) OVER w AS nr FROM l WINDOW w AS (PARTITION BY session_id ORDER BY step))
+SELECT a.session_id, a.step, b.step AS use_step FROM n a LEFT JOIN n b ON a.session_id = b.session_id AND b.u AND NOT a.orphan AND b.nu = a.nr WHERE a.r""")
+def first_in_first_out(spark, sf_dir):
+    from trajlens.sources.adapters import first_in_first_out as paired
+    ev = bind.trace_events(spark, sf_dir).select("event_type")
+    return paired(ev, F.col("event_type").isin("view", "signup"), F.col("event_type").isin("click", "error"))

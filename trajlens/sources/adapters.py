@@ -190,6 +190,24 @@ def session_records(records: DataFrame) -> Ordered:
         error_message=F.when(failed, F.col("r.result")))
 
 
+def first_in_first_out(ev: Ordered, use: Column, result: Column) -> DataFrame:
+    """Results without ids, each with the oldest call still open: ``step`` of the result and ``use_step``, null for an orphan.
+
+    A result that finds no open call is an orphan: the difference of calls and
+    results so far reaches a new low. The n-th other result belongs to the n-th call.
+    """
+    marked = ev.with_columns(_use=use, _result=result & ~use)
+    balance = marked.running(_open=("sum", F.when(F.col("_use"), 1).when(F.col("_result"), -1).otherwise(0)))
+    low = balance.running(exclusive=True, _low=("min", F.col("_open")))
+    orphan = F.col("_result") & (F.col("_open") < F.least(F.lit(0), F.coalesce("_low", F.lit(0))))
+    told = low.with_columns(_orphan=orphan)
+    ranked = told.running(_nth_use=("count", F.when(F.col("_use"), 1)), _nth_result=("count", F.when(F.col("_result") & ~F.col("_orphan"), 1))).df
+    keys = list(ev.keys)
+    uses = ranked.where("_use").select(*keys, F.col("_nth_use").alias("_nth"), F.col(ev.order).alias("use_step"))
+    results = ranked.where("_result").select(*keys, ev.order, F.when(~F.col("_orphan"), F.col("_nth_result")).alias("_nth"))
+    return results.join(uses, [*keys, "_nth"], "left").drop("_nth")
+
+
 def goal_of_thought(text: Column) -> Column:
     """The first sentence or line of 11-199 characters, else the whole text."""
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
