@@ -187,10 +187,19 @@ def coherence(turns: Ordered) -> DataFrame:
     return per.select(*turns.keys, *[F.round(c, 6).alias(c) for c in per.columns if c not in turns.keys])
 
 
-def trivial(turns: Ordered) -> DataFrame:
-    """Turn and action counts."""
+def trivial(turns: Ordered, runs: DataFrame | None = None) -> DataFrame:
+    """Turn and action counts; with ``runs`` (keys, ``patch, exit_status, model``) also patch length, exit status and model.
+
+    A trajectory without a run, and empty fields, count as no patch and "unknown".
+    """
     has = F.when(is_agent() & tx.action_line(F.col("text")).isNotNull(), 1)
-    return turns.df.groupBy(*turns.keys).agg(F.count("*").alias("n_turns"), F.count(has).alias("n_parsed_actions"))
+    counts = turns.df.groupBy(*turns.keys).agg(F.count("*").alias("n_turns"), F.count(has).alias("n_parsed_actions"))
+    if runs is None:
+        return counts
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
+    return counts.join(runs, list(turns.keys), "left").select(
+        *turns.keys, "n_turns", "n_parsed_actions", F.coalesce(F.length("patch"), F.lit(0)).alias("patch_len"),
+        known("exit_status").alias("exit_status"), known("model").alias("model_name"))
 
 
 def tool_counts(acted: Ordered) -> DataFrame:

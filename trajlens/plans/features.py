@@ -134,10 +134,18 @@ def coherence_features(spark, sf_dir):
     return tj.coherence(bind.turns(spark, sf_dir))
 
 
-@query("trivial_features", f"""WITH {ACTS} SELECT session_id, count(*) AS n_turns, count(a.turn) AS n_parsed_actions
-FROM b2 LEFT JOIN ac a USING (session_id, turn) GROUP BY session_id""")
+@query("trivial_features", f"""WITH {ACTS}, rn AS (SELECT user_id AS session_id, max(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)) AS k FROM events WHERE user_id % 5 <> 0 GROUP BY user_id),
+n AS (SELECT session_id, count(*) AS n_turns, count(a.turn) AS n_parsed_actions FROM b2 LEFT JOIN ac a USING (session_id, turn) GROUP BY session_id)
+SELECT session_id, n_turns, n_parsed_actions, CASE WHEN k IS NULL THEN 0 ELSE CAST(k % 40 AS INT) END AS patch_len,
+  CASE k % 3 WHEN 0 THEN 'submitted' WHEN 1 THEN 'early_exit' ELSE 'unknown' END AS exit_status, CASE WHEN k % 2 = 0 THEN 'm' || (k % 4) ELSE 'unknown' END AS model_name
+FROM n LEFT JOIN rn USING (session_id)""")
 def trivial_features(spark, sf_dir):
-    return tj.trivial(bind.turns(spark, sf_dir))
+    per = bind.raw_events(spark, sf_dir).where("user_id % 5 <> 0").groupBy(F.col("user_id").alias("session_id")).agg(F.max("k").alias("k"))
+    k = F.col("k")
+    runs = per.select("session_id", F.repeat(F.lit("+"), (k % 40).cast("int")).alias("patch"),
+                      F.when(k % 3 == 0, "submitted").when(k % 3 == 1, "early_exit").otherwise("").alias("exit_status"),
+                      F.when(k % 2 == 0, F.concat(F.lit("m"), (k % 4).cast("string"))).alias("model"))
+    return tj.trivial(bind.turns(spark, sf_dir), runs)
 
 
 @query("tool_count_matrix", f"""WITH {ACTS} SELECT session_id, count(*) FILTER (WHERE tool_name = 'create') AS "create",
