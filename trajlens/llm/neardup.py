@@ -133,14 +133,14 @@ def _across(left: DataFrame, near: Column) -> DataFrame:
     """Pairs of (component, size) on one list under different components, where ``near`` holds for a and b."""
     a, b = left.alias("a"), left.alias("b")
     return (a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component")) & near)
-            .select(F.col("a.component").alias("ca"), F.col("a.n").alias("na"), F.col("b.component").alias("cb"), F.col("b.n").alias("nb")).distinct())
+            .select(F.col("a.token").alias("on"), F.col("a.component").alias("ca"), F.col("a.n").alias("na"), F.col("b.component").alias("cb"), F.col("b.n").alias("nb")))
 
 
-def _expanded(groups: DataFrame, postings: DataFrame, near: Column) -> DataFrame:
-    """Pairs of nodes of such pairs of (component, size) that share a token."""
+def _expanded(groups: DataFrame, postings: DataFrame) -> DataFrame:
+    """Pairs of the nodes such pairs of (component, size) have on their list."""
     a, b = postings.alias("a"), postings.alias("b")
-    return (groups.join(a, (F.col("ca") == F.col("a.component")) & (F.col("na") == F.col("a.n")))
-            .join(b, (F.col("cb") == F.col("b.component")) & (F.col("nb") == F.col("b.n")) & (F.col("a.token") == F.col("b.token")) & near)
+    return (groups.join(a, (F.col("on") == F.col("a.token")) & (F.col("ca") == F.col("a.component")) & (F.col("na") == F.col("a.n")))
+            .join(b, (F.col("on") == F.col("b.token")) & (F.col("cb") == F.col("b.component")) & (F.col("nb") == F.col("b.n")))
             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
 
 
@@ -148,7 +148,7 @@ def _by_signature(prefix: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates from short lists: pairs that share MATCHES coordinates, counted by look-up in both signatures."""
     near = _similar_size(F.col("a.n"), F.col("b.n"))
     groups = _across(prefix.select("token", "component", "n").distinct(), near)
-    pairs = _expanded(groups, prefix, F.lit(True))
+    pairs = _expanded(groups, prefix)
     own, other = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +178,11 @@ def _by_set(flagged: DataFrame, texts: DataFrame) -> DataFrame:
     # The least number of common shingles, and what a common shingle at these places leaves possible.
     least = F.ceil((na + nb) * PERCENT / (100 + PERCENT))
     near = _similar_size(na, nb) & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= least)
-    groups = _across(prefix.groupBy("token", "component", "n").agg(F.min("at").alias("at")), near)
-    return _expanded(groups, prefix, near)
+    groups = _across(prefix.groupBy("token", "component", "n").agg(F.min("at").alias("at")), near).select("ca", "na", "cb", "nb").distinct()
+    # Nodes of one component and size share most of their tokens, so each pair is made once and not once for every token.
+    members = prefix.select("component", "n", "node").distinct()
+    a, b = members.toDF("ca", "na", "a"), members.toDF("cb", "nb", "b")
+    return groups.join(a, ["ca", "na"]).join(b, ["cb", "nb"]).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
