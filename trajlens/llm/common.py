@@ -40,9 +40,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def worker_memory(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, so that tasks in turn share what it holds."""
+    """A dictionary that lives as long as the Python worker works for one purpose, so that its tasks share what it holds.
+
+    A task for another purpose starts a new one and lets the old one go: a worker
+    that serves several stages in turn holds one stage's words at a time.
+    """
     home = sys.modules.setdefault("_trajlens_worker_memory", types.ModuleType("_trajlens_worker_memory"))
-    return home.__dict__.setdefault(name, {})
+    held = home.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = {}
+    return held[name]
 
 
 def quiet_tokenizers() -> None:

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 #: Words of items one pass over the documents looks for; more items take more passes.
 PASS_WORDS = 2_000_000
 #: Words of documents a task works on at a time.
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 #: Windows embedded at a time.
-WINDOWS = 200_000
+WINDOWS = 50_000
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 

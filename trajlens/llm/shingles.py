@@ -9,7 +9,7 @@ from trajlens.llm.common import worker_memory
 
 WORDS = 5
 #: Words a worker remembers the hash of.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _S29, _S32 = np.uint64(29), np.uint64(32)

@@ -27,7 +27,9 @@ _WORD = re.compile(r"\w+")
 #: Lengths of the leading parts of a word that count as its forms.
 PREFIXES = (4, 5, 6, 7)
 #: Words a worker remembers the score of.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
+#: Texts whose forms a task counts before it hands them on.
+COUNTED_TEXTS = 200
 #: Highest score of one word, so that a single word never decides.
 TOP = 6.0
 
@@ -150,13 +152,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, prior: float =
     sample = durable(labelled_sample(docs, labels, "toxic", rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, clean = Counter(), Counter()
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (toxic if label else clean).update({f for w in set(_WORD.findall(text.lower())) for f in forms(w)})
-            names = list(toxic.keys() | clean.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()),
-                                              pa.array([clean[f] for f in names], pa.int64())], ["form", "toxic", "clean"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, COUNTED_TEXTS):
+                batch = whole.slice(at, COUNTED_TEXTS)
+                toxic, clean = Counter(), Counter()
+                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    (toxic if label else clean).update({f for w in set(_WORD.findall(text.lower())) for f in forms(w)})
+                names = list(toxic.keys() | clean.keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()),
+                                                  pa.array([clean[f] for f in names], pa.int64())], ["form", "toxic", "clean"])
 
     counted = durable(sample.select("text", "label").mapInArrow(count, "form string, toxic long, clean long")
                       .groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))

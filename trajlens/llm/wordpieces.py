@@ -18,8 +18,8 @@ from tokenizers import Tokenizer
 
 from trajlens.llm.common import quiet_tokenizers, worker_memory
 
-#: Parts a worker remembers before it starts anew; some 150 MB.
-MEMO_PARTS = 700_000
+#: Parts a worker remembers before it starts anew; some 100 MB.
+MEMO_PARTS = 500_000
 #: Parts encoded by one call.
 BULK = 4096
 
