@@ -189,6 +189,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(docs.where("false")).collect() == []
 
 
+def test_near_duplicates_of_repeated_rows_that_share_a_passage(spark):
+    """Each row four times: links that only the search by full sets finds stay the same."""
+    rnd = random.Random(2)
+    passage = _prose(rnd, 60)
+    texts = {i: f"{_prose(rnd, rnd.randint(2, 30))} {passage} {_prose(rnd, rnd.randint(2, 12))}" for i in range(150)}
+    docs = spark.createDataFrame([row for row in texts.items() for _ in range(4)], DOCS).repartition(4)
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == 600
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, n, c, c == i) for i, (n, c) in near_components(texts).items()}
+
+
 def test_signatures_estimate_similarity():
     rnd = random.Random(8)
     a = _prose(rnd, 400)

@@ -235,8 +235,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     (chosen.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("node", "digest", "text").mapInArrow(of_node, "node long, text string")
      .write.parquet(folder))
-    # A row that repeats an id and its text gives its node a second, equal text.
     texts = spark.read.parquet(folder)
+    # A row that repeats an id and its text gives its node a second text of the same set, and places in a set need one.
+    # Rarely needed, and it would sort all texts.
+    if not texts.groupBy("node").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty():
+        texts = durable(texts.dropDuplicates(["node"]))
 
     links = [_confirmed(stars, texts)]
     component = durable(components(links[0]))
