@@ -46,6 +46,24 @@ def test_top_k_of_odd_vectors(spark):
     assert search.top_k(table.where("false"), search.F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_of_a_best_candidate_repeated(spark):
+    """The best candidate six times, once more with another vector: it fills one place."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, rnd.integers(-8, 9, 6).astype(float).tolist()) for i in range(120)]
+    rows += [(200, [40.0] * 6)] * 6 + [(200, [39.0] * 6), (50, rows[50][1]), (201, [40.0] * 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in search.top_k(table, search.F.col("vec_id") % 50 == 0).collect())
+    want = []
+    for q in (0, 50, 100, 200):
+        best = {}
+        for a, v in rows:
+            for b, w in rows:
+                if a == q and b != q:
+                    best[b] = max(best.get(b, -math.inf), sum(x * y for x, y in zip(_ints(v), _ints(w))))
+        want += [(q, k + 1, b, s) for k, (b, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])]
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("scale", [1, 2 ** 20])
 def test_block_search_prunes_nothing_it_needs(scale):
     rnd = np.random.default_rng(4)

@@ -65,8 +65,11 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Which of the rows are their query's k best, ties by smaller id."""
-    order = np.lexsort((vec, -score, query))
+    """Which of the rows are their query's k best, ties by smaller id; rows that repeat a query and an id count as one, the best of them."""
+    order = np.lexsort((-score, vec, query))
+    new = np.r_[True, (query[order][1:] != query[order][:-1]) | (vec[order][1:] != vec[order][:-1])][:len(order)]
+    once = order[new]
+    order = once[np.lexsort((vec[once], -score[once], query[once]))]
     q = query[order]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
     rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
