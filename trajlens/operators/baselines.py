@@ -87,6 +87,14 @@ def novel_tools(observed: DataFrame, expected: DataFrame) -> DataFrame:
         "session_id", "phase", "tools", "novel", F.round(F.col("novel") / F.col("tools"), 6).alias("novel_ratio"))
 
 
+def novel_calls(observed: DataFrame, expected: DataFrame) -> DataFrame:
+    """Share of the calls of a (session, phase) whose tool the phase's baseline never saw."""
+    seen = expected.select("phase", "tool", F.lit(True).alias("_seen"))
+    joined = observed.join(expected.select("phase").distinct(), "phase", "left_semi").join(seen, ["phase", "tool"], "left")
+    return joined.groupBy("session_id", "phase").agg(
+        F.round(F.sum(F.when(F.col("_seen").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("novel_ratio"))
+
+
 def calibrated(ev: Ordered, metrics: tuple[str, ...], calibration: int = 100, sensitivity: float = 2.0) -> Ordered:
     """Per metric: z-score against the session's first observations, and ``<m>_dir`` when anomalous."""
     first = F.col(ev.order) <= calibration

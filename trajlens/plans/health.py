@@ -104,10 +104,15 @@ pe AS (SELECT session_id, count(*) FILTER (WHERE rare) AS a, count(*) FILTER (WH
 SELECT session_id, round((CASE WHEN a >= 3 THEN 0.4 WHEN a >= 1 THEN 0.2 ELSE 0.0 END + CASE WHEN r > 8 THEN 0.2 ELSE 0.0 END)::DOUBLE, 3) AS confidence, a AS anomalous_transitions, r AS regressions, 0.0::DOUBLE AS divergence
 FROM pe WHERE round((CASE WHEN a >= 3 THEN 0.4 WHEN a >= 1 THEN 0.2 ELSE 0.0 END + CASE WHEN r > 8 THEN 0.2 ELSE 0.0 END)::DOUBLE, 3) >= 0.5""")
 def calibrated_drift(spark, sf_dir):
-    moves = ph.transitions(phased(spark, sf_dir))
-    none = moves.where("1 = 0")
-    return he.calibrated_drift(moves, bl.transition_model(moves, 0.2), none.select("session_id", F.lit(0.0).alias("divergence")),
-                               none.select("session_id", F.lit(0.0).alias("novel_ratio")))
+    """The SQL has no tool terms; tests/test_whole_values.py compares with SQL that has all four."""
+    machine = phased(spark, sf_dir)
+    moves = ph.transitions(machine)
+    # The calls among a session's last 30 events, held against all sessions' calls in the phase the session ends in.
+    whole = machine.totals(_n=F.max("step"), _last=F.max_by("phase_rank", "step")).df.where("type = 'tool_call' AND tool IS NOT NULL")
+    recent = whole.where("step > _n - 30").select("session_id", phase_name(F.col("_last")).alias("phase"), "tool")
+    observed = bl.share_table(recent, ["session_id", "phase"], "tool")
+    expected = bl.share_table(whole.select(phase_name(F.col("phase_rank")).alias("phase"), "tool"), ["phase"], "tool")
+    return he.calibrated_drift(moves, bl.transition_model(moves, 0.2), bl.tool_divergence(observed, expected), bl.novel_calls(observed, expected))
 
 
 @query("calibrated_missing_verification")
