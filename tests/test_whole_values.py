@@ -138,3 +138,10 @@ def test_construct_correlations_take_all_tools(spark):
       c AS (SELECT session_id, {counts} FROM act GROUP BY session_id)
       SELECT unnest(['verb_align_rate', 'target_match_rate']) AS construct, unnest([{most('verb')}, {most('tgt')}]) AS max_abs_r FROM f JOIN c USING (session_id)"""
     assert difference(QUERIES["construct_correlations"](spark, sf), duck(sf), sql) is None
+
+
+def test_detections_run_every_detector(spark):
+    sf = f"{ROOT}/sf0.001"
+    wanted = {r.session_id for r in QUERIES["detect_strategic_myopia"](spark, sf).collect()}
+    got = QUERIES["detections"](spark, sf).where("failure = 'strategic_myopia'").collect()
+    assert {r.session_id for r in got} == wanted and wanted

@@ -235,20 +235,25 @@ def detect_recovery_failure(spark, sf_dir):
     return dt.recovery_failure(bind.trace_events(spark, sf_dir), rate=0.3)
 
 
-@query("detect_strategic_myopia")
-def detect_strategic_myopia(spark, sf_dir):
-    ev = bind.trace_events(spark, sf_dir)
-    ev = ev.on(ev.df.withColumns({
+def evaluated(ev):
+    """The trace with runs of an evaluation among its shell calls."""
+    return ev.on(ev.df.withColumns({
         "error_message": F.lit(None).cast("string"),
         "goal_text": F.when((F.col("tool") == "bash") & (F.col("k") % 2 == 0), "pytest accuracy: 0.5").otherwise(F.col("goal_text"))}))
-    return dt.strategic_myopia(ev, min_edits=4)
+
+
+@query("detect_strategic_myopia")
+def detect_strategic_myopia(spark, sf_dir):
+    return dt.strategic_myopia(evaluated(bind.trace_events(spark, sf_dir)), min_edits=4)
 
 
 @query("detections")
 def detections(spark, sf_dir):
     ev = bind.trace_events(spark, sf_dir)
-    return dt.run_detectors(ev, tuple(dt.DETECTORS)[:13], step_repetition={"threshold": 3, "gathering_threshold": 4},
-                            analysis_paralysis={"threshold": 3}, stall={"floor_ms": 20000.0})
+    on_trace = tuple(n for n in dt.DETECTORS if n != "strategic_myopia")
+    return dt.run_detectors(ev, on_trace, step_repetition={"threshold": 3, "gathering_threshold": 4},
+                            analysis_paralysis={"threshold": 3}, stall={"floor_ms": 20000.0}).unionByName(
+        dt.run_detectors(evaluated(ev), ("strategic_myopia",), strategic_myopia={"min_edits": 4}))
 
 
 @query("session_overview", f"""WITH {b1()}, en AS (SELECT session_id, step, round(entropy(symbol) OVER (PARTITION BY session_id ORDER BY step ROWS 49 PRECEDING) + 1e-12, 4) AS h FROM b1),
