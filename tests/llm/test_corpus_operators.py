@@ -207,6 +207,12 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(docs.where("false")).collect() == []
 
 
+def test_a_copy_under_the_id_of_a_kept_text_goes(spark):
+    t = "a b c d e f g"
+    docs = spark.createDataFrame([(3, t, 1), (5, t.upper(), 2), (5, "other words under the same id", 3), (5, None, 4), (8, t, 5), (9, "alone", 6)], DOCS + ", row int")
+    assert sorted(r.row for r in neardup.without_copies(docs).collect()) == [1, 3, 4, 6]
+
+
 def test_near_duplicates_of_repeated_rows_that_share_a_passage(spark):
     """Each row four times: links that only the search by full sets finds stay the same."""
     rnd = random.Random(2)

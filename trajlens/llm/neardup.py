@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from trajlens.llm.common import shared_folder
 from trajlens.llm.shingles import MinHash, jaccard_at_least, set_digest, shingle_set
@@ -185,18 +186,8 @@ def _by_set(flagged: DataFrame, texts: DataFrame) -> DataFrame:
     return groups.join(a, ["ca", "na"]).join(b, ["cb", "nb"]).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: one row per document.
-
-    Documents are linked where their shingle sets' similarity is at least
-    PERCENT of 100; ``component_id`` is the smallest id reachable by links, and
-    ``kept`` marks the document of that id. Null, empty and wordless texts have
-    no shingles and are linked with nothing. A row without an id cannot stand
-    for a group: it takes no part, its component is null and it is kept. Rows
-    that repeat an id and a text get equal rows; where texts differ under one
-    id, each text is linked for itself. An empty table gives no rows; other
-    columns are not read.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``near_duplicates`` with each text's ``digest``."""
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = durable(_signed(chosen))
@@ -258,15 +249,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_digest = durable(member.join(smallest, "component").select("digest", "component_id"))
     joined = rows.join(by_digest, "digest", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"),
+    return joined.select("doc_id", "digest", F.col("n").alias("n_shingles"), component_id.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``: one row per document.
+
+    Documents are linked where their shingle sets' similarity is at least
+    PERCENT of 100; ``component_id`` is the smallest id reachable by links, and
+    ``kept`` marks the document of that id. Null, empty and wordless texts have
+    no shingles and are linked with nothing. A row without an id cannot stand
+    for a group: it takes no part, its component is null and it is kept. Rows
+    that repeat an id and a text get equal rows; where texts differ under one
+    id, each text is linked for itself. An empty table gives no rows; other
+    columns are not read.
+    """
+    return _linked(docs, id_col, text_col).drop("digest")
+
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their group; of rows that repeat an id and a text, one."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times"))
-    kept = durable(kept)
+    found = durable(_linked(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id"), "digest", "kept"))
+    kept = durable(found.groupBy("kept_id").agg(F.count_if("kept").alias("times"), F.count_if(~F.col("kept")).alias("copies")).where("times > 0"))
     own = docs.join(kept.select("kept_id").hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    # Ids under which one text stands for its group and another is a copy; their texts are told apart by their sets.
+    mixed = kept.where("copies > 0").select("kept_id")
+    if not mixed.isEmpty():
+        pairs = found.where("kept").join(mixed, "kept_id").select("kept_id", F.col("digest").alias("kept_digest")).distinct()
+
+        def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = (shingle_set(t) for t in batch.column("text").cast(pa.string()).to_pylist())
+                digests = pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, digests], [*batch.schema.names, "own_digest"])
+
+        schema = StructType([*docs.schema.fields, StructField("own_digest", BinaryType())])
+        some = own.join(mixed, F.col("doc_id") == F.col("kept_id"), "left_semi").mapInArrow(digested, schema)
+        some = some.join(pairs, (F.col("doc_id") == F.col("kept_id")) & F.col("own_digest").eqNullSafe(F.col("kept_digest")), "left_semi").drop("own_digest")
+        own = own.join(mixed, F.col("doc_id") == F.col("kept_id"), "left_anti").unionByName(some)
     # Rarely needed, and it would sort all texts.
     if not kept.where("times > 1").isEmpty():
         own = own.dropDuplicates(["doc_id", "text"])
