@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlens.llm import decontam, licenses, neardup, packing, pii, quality, search, tokens, toxicity, warc
+from trajlens.llm import bestfit, decontam, licenses, neardup, packing, pii, quality, search, tokens, toxicity, warc
 from trajlens.llm.common import held_out, shared_folder, table
 from trajlens.llm.registry import ORACLES, QUERIES, query
 
@@ -93,3 +93,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_best_fit_packing")
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
