@@ -1,6 +1,8 @@
 """Best-fit packing, ranked search and the conversation trie."""
 
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import DOCS, SF
-from trajlens.llm import bestfit, common
+from trajlens.llm import bestfit, common, ranking
 from trajlens.llm.queries import QUERIES
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -93,3 +95,66 @@ def test_sweeps_are_best_fit_decreasing():
         assert not left and taken == Counter(lengths) and max(filled.values()) <= capacity
         assert len(filled) == best_fit_decreasing(lengths, capacity)
         assert sum(g * n for g, _, n in gaps) == len(filled) * capacity - sum(lengths)
+
+
+_TERMS = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _terms(text):
+    return _TERMS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def _ranked(docs, items, k):
+    """Every item against every document, from the stated rule."""
+    docs = [(i, Counter(_terms(t))) for i, t in docs]
+    sizes = [sum(c.values()) for _, c in docs]
+    n, total = sum(s > 0 for s in sizes), sum(sizes)
+    df = Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text in set(items):
+        found = []
+        for (i, held), size in zip(docs, sizes):
+            m = 50 + 50 * size * n // max(total, 1)
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10 ** 9 * held[t] // (1000 * held[t] + 20 * m))
+                        for t in set(_terms(text)) if t in held)
+            if score > 0:
+                found.append((-score, i is None, i))
+        found.sort(key=lambda x: (x[0], x[1], x[2] or 0))
+        out += [(item, r + 1, i, -s) for r, (s, _, i) in enumerate(found[:k])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ranking_equals_every_pair(spark, monkeypatch, small):
+    if small:
+        for name, value in (("BLOCK_DOCS", 40), ("RUN", 8), ("SHIPPED_TERMS", 10), ("QUERIES_A_GROUP", 4), ("FIRST", 3)):
+            monkeypatch.setattr(ranking, name, value)
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(60)] + ["É", "Éx", "Zürich", "a", "A", "b1"]
+    chance = [1 / (k + 1) for k in range(len(words))]
+    text = lambda n: rnd.choice([" ", "-", "\n", "."]).join(rnd.choices(words, chance, k=n))
+    docs = [(i, text(rnd.choice([1, 3, 10, 60, 300]))) for i in range(500)]
+    docs += [(600, None), (601, ""), (602, " -- "), (None, text(20)), (None, "w3 w3"), (7, "w59 w58"), (7, "w59 w58"), (9, "w3 " * 5000)] + [(1000 + i, "w5 w6 w7") for i in range(90)]
+    items = [(i, text(rnd.choice([1, 2, 12]))) for i in range(14)] + [(50, None), (51, ""), (52, "unheard of"), (None, "w3 w4"), (3, "w1 w2"), (53, "w5 w5 W6"), (53, "w5 w5 W6")]
+    table = spark.createDataFrame([(*d, 1, "x") for d in docs], DOCS + ", score int, item_id string").repartition(3)
+    asked = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
+    got = sorted(map(tuple, ranking.rank_documents(table, asked, 10).collect()), key=repr)
+    assert got == _ranked(docs, items, 10) and len(got) > 100
+    assert ranking.rank_documents(table.where("false"), asked).collect() == [] and ranking.rank_documents(table, asked.where("false")).collect() == []
+
+
+def test_hybrid_search_equals_full_sums():
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        size = int(rnd.integers(1, 3000))
+        lists, total = [], np.zeros(size, np.int64)
+        for _ in range(int(rnd.integers(1, 9))):
+            docs = np.flatnonzero(rnd.random(size) < rnd.choice([0.002, 0.03, 0.3, 0.9]))
+            add = rnd.integers(0, rnd.choice([2, 50, 10 ** 6]), len(docs))
+            total[docs] += add
+            lists.append((docs, add))
+        order, k = rnd.permutation(size), int(rnd.integers(1, 60))
+        want = [d for d in np.lexsort((order, -total)) if total[d] > 0][:k]
+        beat = int(total[want[-1]]) if len(want) == k and rnd.random() < 0.5 else 0
+        docs, scores = ranking.hybrid_top(lists, order, k, beat)
+        assert sorted(docs.tolist()) == sorted(int(d) for d in want) and (scores == total[docs]).all()

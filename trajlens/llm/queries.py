@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlens.llm import bestfit, decontam, licenses, neardup, packing, pii, quality, search, tokens, toxicity, warc
+from trajlens.llm import bestfit, decontam, licenses, neardup, packing, pii, quality, ranking, search, tokens, toxicity, trie, warc
 from trajlens.llm.common import held_out, shared_folder, table
 from trajlens.llm.registry import ORACLES, QUERIES, query
 
@@ -98,3 +98,43 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_best_fit_packing")
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op11_prefix_trie", """
+WITH t AS (SELECT conv_id AS c, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS BIGINT) AS s,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT c, max(s) AS size, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 9 AS h FROM t GROUP BY c),
+y AS (SELECT z.*, least(z.h, coalesce(b.size, 0)) AS taken FROM z LEFT JOIN z b ON b.c = z.c - z.c % 5),
+r AS (SELECT y.c, t.s AS d, role, text FROM y JOIN t ON t.c = y.c - y.c % 5 AND t.s <= y.h
+  UNION ALL SELECT y.c, y.taken + t.s - y.h, role, text FROM y JOIN t ON t.c = y.c AND t.s > y.h
+  UNION ALL SELECT c, 0, '', '' FROM y),
+p AS (SELECT c, d, text, sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM r),
+m AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS parent, max(d) OVER (PARTITION BY c) AS last FROM p),
+n AS (SELECT d, key, min(parent) AS parent, min(c) AS c, count(*) AS n, any_value(CASE WHEN d > 0 THEN strlen(text) ELSE 0 END) AS size,
+    sha256(coalesce(string_agg(CASE WHEN d = last THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends FROM m GROUP BY d, key),
+k AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.parent = n.key) AS children FROM n),
+u AS (SELECT m.d, m.key, sum((k.n - 1) * k.size) AS saved, count(*) FILTER (k.children = 0) AS leaves FROM k JOIN m ON m.c = k.c AND m.d <= k.d GROUP BY m.d, m.key)
+SELECT k.c AS conv_id, k.d AS depth, a.c AS parent_conv_id, k.n AS n_convs, k.children AS n_children, u.leaves AS n_leaves,
+  CAST(u.saved AS BIGINT) AS saved_tokens, k.ends AS ends_sha256
+FROM k JOIN u ON u.d = k.d AND u.key = k.key LEFT JOIN k a ON a.d = k.d - 1 AND a.key = k.parent""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.with_shared_openings(trie.ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+@query("op12_ranked_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+c AS (SELECT CAST(count(*) FILTER (len(words) > 0) AS BIGINT) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(words) AS BIGINT) AS n, unnest(words) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
