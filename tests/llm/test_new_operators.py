@@ -1,5 +1,6 @@
 """Best-fit packing, ranked search and the conversation trie."""
 
+import hashlib
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import DOCS, SF
-from trajlens.llm import bestfit, common, ranking
+from trajlens.llm import bestfit, common, ranking, trie
 from trajlens.llm.queries import QUERIES
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -158,3 +159,48 @@ def test_hybrid_search_equals_full_sums():
         beat = int(total[want[-1]]) if len(want) == k and rnd.random() < 0.5 else 0
         docs, scores = ranking.hybrid_top(lists, order, k, beat)
         assert sorted(docs.tolist()) == sorted(int(d) for d in want) and (scores == total[docs]).all()
+
+
+def _trie(rows):
+    """The nodes of the rebuilt conversations, one prefix at a time."""
+    turns = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            turns[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [t[2:] for t in sorted(v)] for c, v in turns.items()}
+    built = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        built[c] = turns.get(c - int(math.fmod(c, 5)), [])[:h] + own[h:]
+    nodes = defaultdict(list)
+    for c, path in built.items():
+        for d in range(len(path) + 1):
+            nodes[tuple(path[:d])].append(c)
+    out = []
+    for path, members in nodes.items():
+        below = [p for p in nodes if p[:len(path)] == path]
+        children = lambda p: sum(len(q) == len(p) + 1 and q[:len(p)] == p for q in nodes)
+        ends = sorted(c for c in members if len(built[c]) == len(path))
+        out.append((min(members), len(path), min(nodes[path[:-1]]) if path else None, len(members), children(path), sum(children(p) == 0 for p in below),
+                    sum((len(nodes[p]) - 1) * len(p[-1][1].encode()) for p in below if p), hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 3])
+def test_trie_equals_every_prefix(spark, monkeypatch, chunk_rows):
+    """Shared openings of every length, equal conversations, one text in other roles, and conversations cut into chunks."""
+    if chunk_rows:
+        monkeypatch.setattr(trie, "IDS_A_PART", 4)
+    rnd = random.Random(3)
+    rows = []
+    for c in [*range(0, 60), *range(100, 130), 7_000_000_000, 7_000_000_003, -3]:
+        shared = rnd.choice([0, 1, 3, 4, 5, 8, 9])
+        for t in range(rnd.choice([0, 1, 2, 4, 8, 13, 30])):
+            rows.append((c, t, "user" if t % 2 else "bot", f"s{t}é" if t < shared else rnd.choice(["a", "b", f"{rnd.random()}"])))
+    rows += [(200 + i, t, "user", f"same {t}") for i in range(40) for t in range(6)]
+    rows += [(300, None, None, None), (300, None, "x", "y"), (300, 2, "user", "late"), (300, 2, "user", "late"), (300, -1, "a", ""), (None, 1, "user", "nobody's"), (301, 0, None, ""), (305, 0, "", None)]
+    rnd.shuffle(rows)
+    table = spark.createDataFrame([(*r, 5, "z") for r in rows], "conv_id long, turn long, role string, text string, depth int, conv string").repartition(4)
+    got = trie.prefix_trie(*trie.with_shared_openings(trie.ordered_turns(table, chunk_rows)), chunk_rows).collect()
+    assert sorted(map(tuple, got), key=repr) == _trie(rows)
+    assert trie.prefix_trie(*trie.with_shared_openings(trie.ordered_turns(table.where("false")))).collect() == []
