@@ -11,11 +11,7 @@ from trajlens.functions import text as tx
 from trajlens.operators import evaluation as ev
 from trajlens.operators import labels as lb
 from trajlens.operators import models as md
-from trajlens.plans import QUERIES
-from trajlens.plans.features import COHERENCE
-from trajlens.plans.models import TOOLS
-from trajlens.plans.phases import NAME
-from trajlens.plans.sqltext import b1t
+from trajlens.plans import ORACLES, QUERIES
 from trajlens.sources import adapters as ad
 from trajlens.streaming import run
 
@@ -105,41 +101,13 @@ def test_scores_that_differ_little_are_not_tied(spark):
     assert got.auc_base == 0.5 and got.auc_full == 1.0
 
 
-DRIFT = f"""WITH {b1t()}, mv AS (SELECT session_id, from_rank AS f, phase_rank AS t, phase_rank < from_rank AS reg FROM bm WHERE phase_rank <> from_rank),
-md AS (SELECT f, t, count(*) / sum(count(*)) OVER (PARTITION BY f) < 0.2 AS rare FROM mv GROUP BY f, t),
-pe AS (SELECT session_id, count(*) FILTER (WHERE rare) AS a, count(*) FILTER (WHERE reg) AS r FROM mv JOIN md USING (f, t) GROUP BY session_id),
-cl AS (SELECT session_id, step, tool, type = 'tool_call' AND tool IS NOT NULL AS is_call, {NAME.format('phase_rank')} AS phase,
-  max(step) OVER s AS n, {NAME.format('arg_max(phase_rank, step) OVER s')} AS last FROM bm WINDOW s AS (PARTITION BY session_id)),
-ex AS (SELECT phase, tool, count(*) / sum(count(*)) OVER (PARTITION BY phase) AS q FROM cl WHERE is_call GROUP BY phase, tool),
-ob AS (SELECT session_id, last AS phase, tool, count(*) / sum(count(*)) OVER (PARTITION BY session_id) AS p FROM cl WHERE is_call AND step > n - 30 GROUP BY session_id, last, tool),
-k AS (SELECT DISTINCT session_id, phase FROM ob WHERE phase IN (SELECT phase FROM ex)),
-al AS (SELECT k.session_id, tool FROM k JOIN ex USING (phase) UNION SELECT session_id, tool FROM ob WHERE session_id IN (SELECT session_id FROM k)),
-pq AS (SELECT k.session_id, ex.tool IS NULL AS novel, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM al JOIN k ON k.session_id = al.session_id
-  LEFT JOIN ob ON ob.session_id = al.session_id AND ob.tool = al.tool LEFT JOIN ex ON ex.phase = k.phase AND ex.tool = al.tool),
-dv AS (SELECT session_id, round(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0), 6) AS d,
-  round(coalesce(sum(p) FILTER (WHERE novel), 0), 6) AS nr FROM pq GROUP BY session_id),
-sc AS (SELECT session_id, a, r, coalesce(d, 0)::DOUBLE AS d, round((CASE WHEN a >= 3 THEN 0.4 WHEN a >= 1 THEN 0.2 ELSE 0.0 END + CASE WHEN d > 1 THEN 0.3 WHEN d > 0.5 THEN 0.15 ELSE 0.0 END
-  + CASE WHEN nr > 0.3 THEN 0.2 ELSE 0.0 END + CASE WHEN r > 8 THEN 0.2 ELSE 0.0 END)::DOUBLE, 3) AS c FROM pe LEFT JOIN dv USING (session_id))
-SELECT session_id, c AS confidence, a AS anomalous_transitions, r AS regressions, round(d, 4) AS divergence FROM sc WHERE c >= 0.5"""
-
-
 def test_drift_scores_take_all_four_terms(spark):
     sf = f"{ROOT}/sf0.01"
     got = QUERIES["calibrated_drift"](spark, sf)
-    assert difference(got, duck(sf), DRIFT) is None
+    assert difference(got, duck(sf), ORACLES["calibrated_drift"]) is None
     assert got.where("confidence > 0.8").count() > 0      # beyond what transitions and regressions can give
 
 
-def test_construct_correlations_take_all_tools(spark):
-    sf = f"{ROOT}/sf0.001"
-    counts = ", ".join(f"count(*) FILTER (WHERE tool_name = '{t}')::DOUBLE AS t{i}" for i, t in enumerate(TOOLS))
-    most = lambda c: "round(greatest(" + ", ".join(f"abs(corr({c}, t{i}))" for i in range(len(TOOLS))) + "), 6)"
-    sql = f"""WITH {COHERENCE}, f AS (SELECT session_id, round(avg(va), 6) AS verb, round(avg(tm), 6) AS tgt FROM sc GROUP BY session_id),
-      c AS (SELECT session_id, {counts} FROM act GROUP BY session_id)
-      SELECT unnest(['verb_align_rate', 'target_match_rate']) AS construct, unnest([{most('verb')}, {most('tgt')}]) AS max_abs_r FROM f JOIN c USING (session_id)"""
-    assert difference(QUERIES["construct_correlations"](spark, sf), duck(sf), sql) is None
-
-
 def test_detections_run_every_detector(spark):
     sf = f"{ROOT}/sf0.001"
     wanted = {r.session_id for r in QUERIES["detect_strategic_myopia"](spark, sf).collect()}

@@ -140,8 +140,12 @@ def error_origin(text: Column) -> Column:
     return F.when(any_of(F.lower(text), ENVIRONMENT_ERRORS), "environmental").otherwise("command")
 
 
+# Words that mark a result as an error.
+RESULT_ERRORS = ("error", "failed", "exception", "traceback")
+
+
 def is_error_result(flag: Column, text: Column) -> Column:
-    return F.coalesce(flag, F.lit(False)) | any_of(F.lower(text), ("error", "traceback", "exception", "failed"))
+    return F.coalesce(flag, F.lit(False)) | any_of(F.lower(text), RESULT_ERRORS)
 
 
 def normal_command(command: Column) -> Column:

@@ -112,11 +112,18 @@ def rank_auc(spark, sf_dir):
     return md.rank_auc(rows, ["g"]).select("g", F.round("auc", 6).alias("auc"))
 
 
+PER_TOOL = ", ".join(f"count(*) FILTER (WHERE tool_name = '{t}')::DOUBLE AS t{i}" for i, t in enumerate(TOOLS))
+
+
+def most(construct: str) -> str:
+    """The largest absolute correlation of a construct with any tool's count."""
+    return "round(greatest(" + ", ".join(f"abs(corr({construct}, t{i}))" for i in range(len(TOOLS))) + "), 6)"
+
+
 @query("construct_correlations", f"""WITH {COHERENCE}, f AS (SELECT session_id, round(avg(va), 6) AS verb, round(avg(tm), 6) AS tgt FROM sc GROUP BY session_id),
-c AS (SELECT session_id, count(*) FILTER (WHERE tool_name = 'create')::DOUBLE AS a, count(*) FILTER (WHERE tool_name = 'edit')::DOUBLE AS b, count(*) FILTER (WHERE tool_name = 'open')::DOUBLE AS d FROM act GROUP BY session_id)
-SELECT unnest(['verb_align_rate', 'target_match_rate']) AS construct, unnest([round(greatest(abs(corr(verb, a)), abs(corr(verb, b)), abs(corr(verb, d))), 6), round(greatest(abs(corr(tgt, a)), abs(corr(tgt, b)), abs(corr(tgt, d))), 6)]) AS max_abs_r FROM f JOIN c USING (session_id)""")
+c AS (SELECT session_id, {PER_TOOL} FROM act GROUP BY session_id)
+SELECT unnest(['verb_align_rate', 'target_match_rate']) AS construct, unnest([{most('verb')}, {most('tgt')}]) AS max_abs_r FROM f JOIN c USING (session_id)""")
 def construct_correlations(spark, sf_dir):
-    """The SQL takes three of the tools; tests/test_whole_values.py compares with SQL over all of them."""
     turns = bind.turns(spark, sf_dir)
     counts = tj.tool_counts(tj.actions(turns)).groupBy("session_id").pivot("tool_name", TOOLS).agg(F.sum("n").cast("double")).na.fill(0)
     return md.max_correlations(tj.coherence(turns).join(counts, "session_id"), ["verb_align_rate", "target_match_rate"], TOOLS)
