@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajlens.operators import detectors as dt
+from trajlens.operators import firings as fr
 from trajlens.operators.phases import phase_machine
 from trajlens.plans.registry import query
 from trajlens.plans.sqltext import b1, b1t
@@ -235,6 +236,96 @@ def detect_recovery_failure(spark, sf_dir):
     return dt.recovery_failure(bind.trace_events(spark, sf_dir), rate=0.3)
 
 
+# Half of the edits read as commits and test runs as builds, so that every rule of a prefix finds cases.
+MIXED = T.replace("WHEN 'purchase' THEN 'edit_file' WHEN 'error' THEN 'pytest'", "WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'commit' ELSE 'edit_file' END WHEN 'error' THEN 'npm'").replace(
+    "WHEN tool = 'pytest' THEN 4 WHEN tool IN ('bash', 'edit_file') THEN 3", "WHEN tool = 'commit' THEN 5 WHEN tool IN ('bash', 'edit_file', 'npm') THEN 3").replace(
+    "tool IN ('bash', 'edit_file', 'pytest')", "tool IN ('bash', 'edit_file', 'commit')")
+FIRING = f"""{MIXED}, f AS (SELECT *, NOT success AS err, type = 'tool_call' AS is_call, row_number() OVER o AS n,
+    count(*) FILTER (WHERE NOT success) OVER o AS errors, count(*) FILTER (WHERE type = 'tool_call') OVER o AS calls,
+    count(*) FILTER (WHERE type = 'tool_call' AND success) OVER o AS goods, count(*) FILTER (WHERE class_rank = 3) OVER o AS ex,
+    count(*) FILTER (WHERE class_rank = 4) OVER o AS vf, count(*) FILTER (WHERE class_rank = 5) OVER o AS dl,
+    coalesce(bool_or(phase_rank <> from_rank AND phase_rank = 4) OVER o, false) AS reached, coalesce(bool_or(tool = 'edit_file') OVER o, false) AS wrote,
+    coalesce(bool_or(type = 'user_input' AND {VERIFIED}) OVER o, false) AS delegated,
+    count(*) FILTER (WHERE type = 'tool_call' AND tool <> 'read_file') OVER o AS work, count(*) FILTER (WHERE type = 'user_input') OVER o AS block,
+    step - coalesce(max(CASE WHEN success THEN step END) OVER o, 0) AS chain, step - coalesce(max(CASE WHEN type <> 'reasoning' THEN step END) OVER o, 0) AS thinking,
+    lag(type) OVER o AS was_type, lag(goal_text) OVER o AS was_text, lag(tool) OVER o AS was_tool, lag(input_hash) OVER o AS was_input, lag(success) OVER o AS was_ok,
+    count(*) FILTER (WHERE tool = 'read_file') OVER o AS looks
+  FROM bm WINDOW o AS (PARTITION BY session_id ORDER BY step)),
+g AS (SELECT *, count(*) FILTER (WHERE NOT was_ok AND was_tool IS NOT DISTINCT FROM tool AND was_input = input_hash) OVER o AS stuck,
+    max(CASE WHEN err THEN chain END) OVER (PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longest,
+    looks - coalesce(max(CASE WHEN is_call AND tool <> 'read_file' THEN looks END) OVER o, 0) AS look
+  FROM f WINDOW o AS (PARTITION BY session_id ORDER BY step)),
+rk AS (SELECT k.session_id, k.step, i.step AS i, count(z.step) AS aft FROM f k JOIN f i ON i.session_id = k.session_id AND i.err AND i.step < k.step
+    LEFT JOIN f z ON z.session_id = k.session_id AND z.err AND z.step > i.step AND z.step <= least(i.step + 3, k.step) GROUP BY ALL),
+rs AS (SELECT session_id, step, count(*) AS attempts, count(*) FILTER (WHERE aft > 0) AS bads, max(i) FILTER (WHERE aft > 0) AS last_bad,
+    arg_min(i, (-aft, i)) FILTER (WHERE aft > 0) AS worst FROM rk GROUP BY session_id, step),
+ru AS (SELECT rs.session_id, rs.step, count(DISTINCT z.output_hash) AS fresh FROM rs JOIN bm z ON z.session_id = rs.session_id AND z.success AND z.type = 'tool_call'
+    AND z.step > rs.last_bad AND z.step <= rs.step GROUP BY ALL),
+a AS (SELECT session_id, step, latency_ms FROM bm WHERE latency_ms <= 120000),
+q AS (SELECT *, count(*) OVER o AS n, quantile_cont(latency_ms, 0.25) OVER o AS q25, quantile_cont(latency_ms, 0.5) OVER o AS med, quantile_cont(latency_ms, 0.75) OVER o AS q75
+  FROM a WINDOW o AS (PARTITION BY session_id ORDER BY step)),
+s0 AS (SELECT session_id, step, greatest(q75 + 1.5 * (q75 - q25), 20000.0) AS thr FROM q WHERE n >= 10 AND med >= 50),
+s1 AS (SELECT s0.session_id, s0.step, any_value(thr) AS thr, count(*) AS c, max(a.latency_ms) AS mx, arg_min(a.step, (-a.latency_ms, a.step)) AS at_step, max(a.step) AS late
+  FROM s0 JOIN a ON a.session_id = s0.session_id AND a.step <= s0.step AND a.latency_ms > thr GROUP BY s0.session_id, s0.step),
+s2 AS (SELECT *, lag(at_step) OVER (PARTITION BY session_id ORDER BY step) AS told FROM s1 WHERE c >= 2 AND late > 6),
+all_of AS (
+  SELECT session_id, 'context_loss' AS failure, step, step AS at_step, least((work - w0) / 10.0, 1.0) AS confidence FROM (SELECT *, first_value(work) OVER (PARTITION BY session_id, output_hash, block ORDER BY step) AS w0
+    FROM g WHERE tool = 'read_file') WHERE n >= 6 AND work - w0 >= greatest(5, floor(n * 0.08))
+  UNION ALL SELECT session_id, 'premature_termination', step, step, 0.85 FROM g WHERE n >= 5 AND phase_rank = 5 AND dl >= 3 AND ex >= 3 AND NOT reached AND NOT delegated
+  UNION ALL SELECT session_id, 'analysis_paralysis', step, step, round(least(thinking / 9.0, 0.85), 3) FROM g WHERE type = 'reasoning' AND thinking >= 3
+  UNION ALL SELECT session_id, 'recovery_failure', step, worst, round(bads / attempts, 3) FROM g JOIN rs USING (session_id, step) LEFT JOIN ru USING (session_id, step)
+    WHERE n >= 4 AND errors >= 3 AND bads / attempts >= 0.3 AND coalesce(fresh, 0) < 5 AND NOT (calls >= 50 AND goods / calls >= 0.8 AND stuck = 0)
+  UNION ALL SELECT session_id, 'missing_verification', step, step, least(ex / 15.0, 0.9) FROM g WHERE ex >= 5 AND vf = 0 AND NOT delegated AND wrote AND phase_rank NOT IN (1, 2)
+  UNION ALL SELECT session_id, 'reasoning_action_mismatch', step, step, CASE WHEN contains(was_text, 'read') THEN 0.7 ELSE 0.65 END FROM g
+    WHERE was_type = 'reasoning' AND is_call AND tool = 'edit_file' AND (contains(was_text, 'read') OR contains(was_text, 'test'))
+  UNION ALL SELECT session_id, 'tool_thrashing', step, step, least(most / (cap * 2.0), 0.85) FROM (SELECT *, max(CASE WHEN tool = 'read_file' THEN look END) OVER (PARTITION BY session_id ORDER BY step) AS most,
+    CASE WHEN phase_rank = 3 THEN 3 ELSE 4 END AS cap FROM g) WHERE n >= 3 AND most >= cap),
+fired AS (SELECT session_id, failure, step, at_step, confidence FROM all_of QUALIFY row_number() OVER (PARTITION BY session_id, failure ORDER BY step) = 1
+  UNION ALL SELECT session_id, 'error_cascade', step, step, round(least(chain / 10.0, 1.0), 3) FROM g WHERE err AND n >= 3 AND chain >= 3 AND chain > coalesce(longest, 0)
+  UNION ALL SELECT session_id, 'stall', step, at_step, round(least(0.5 + (mx - thr) / thr * 0.3, 1.0), 3) FROM s2 WHERE told IS DISTINCT FROM at_step)"""
+LOOSE = {"analysis": 3, "rate": 0.3, "executing": 5, "look": (3, 4), "stall": {"floor_ms": 20000.0}}
+
+
+def mixed_trace(spark, sf_dir):
+    ev = bind.trace_events(spark, sf_dir)
+    tool = F.when((F.col("tool") == "edit_file") & (F.col("k") % 2 == 0), "commit").when(F.col("tool") == "pytest", "npm").otherwise(F.col("tool"))
+    return ev.on(ev.df.withColumn("tool", tool))
+
+
+@query("first_firings", f"WITH {FIRING} SELECT session_id, failure, step, at_step, confidence::DOUBLE AS confidence FROM fired")
+def first_firings(spark, sf_dir):
+    return fr.first_firings(mixed_trace(spark, sf_dir), **LOOSE)
+
+
+@query("settled_firings", f"""WITH {FIRING},
+lp AS (SELECT session_id, max(step) AS step FROM bm GROUP BY session_id),
+fs AS (SELECT session_id, round(least(0.5 + (mx - thr) / thr * 0.3, 1.0), 3) AS whole FROM s1 JOIN (SELECT session_id, max(step) AS step FROM a GROUP BY session_id) USING (session_id, step) WHERE c >= 2 AND late > 6),
+rf AS (SELECT session_id FROM g JOIN rs USING (session_id, step) JOIN lp USING (session_id, step) LEFT JOIN ru USING (session_id, step)
+  WHERE n >= 4 AND errors >= 3 AND bads / attempts >= 0.3 AND coalesce(fresh, 0) < 5 AND NOT (calls >= 50 AND goods / calls >= 0.8 AND stuck = 0))
+SELECT session_id, failure, step, at_step, greatest(confidence, CASE WHEN failure = 'stall' THEN whole END)::DOUBLE AS confidence FROM fired LEFT JOIN fs USING (session_id)
+WHERE failure <> 'recovery_failure' OR session_id IN (SELECT session_id FROM rf)""")
+def settled_firings(spark, sf_dir):
+    ev = mixed_trace(spark, sf_dir)
+    return fr.settled_firings(fr.first_firings(ev, **LOOSE), dt.stall(ev, floor_ms=20000.0), dt.recovery_failure(ev, rate=0.3))
+
+
+@query("failed_gates", f"""WITH {T}{SIZES}, {ISLAND('bt', 'success', 'step', 'r')}, {LONGEST('r', 'NOT val')},
+a AS (SELECT * FROM bt WHERE latency_ms <= 120000),
+q AS (SELECT session_id, count(*) AS m, quantile_cont(latency_ms, 0.25) AS q25, quantile_cont(latency_ms, 0.5) AS med, quantile_cont(latency_ms, 0.75) AS q75 FROM a GROUP BY session_id),
+h AS (SELECT *, greatest(q75 + 1.5 * (q75 - q25), 20000.0) AS thr FROM q),
+b AS (SELECT session_id, count(*) AS c, max(latency_ms) AS mx, max(step) AS late FROM a JOIN h USING (session_id) WHERE latency_ms > thr GROUP BY session_id),
+w AS (SELECT *, count(*) FILTER (WHERE type = 'tool_call' AND tool <> 'read_file') OVER o AS work, count(*) FILTER (WHERE type = 'user_input') OVER o AS block FROM bt WINDOW o AS (PARTITION BY session_id ORDER BY step)),
+cl AS (SELECT session_id, max(gap) AS gap FROM (SELECT session_id, max(work) - min(work) AS gap FROM w WHERE tool = 'read_file' GROUP BY session_id, output_hash, block) GROUP BY session_id),
+o AS (SELECT session_id, 'stall' AS failure, CASE WHEN n < 10 THEN 'min_events' WHEN coalesce(m, 0) < 10 THEN 'min_active_events' WHEN med < 50 THEN 'low_median' WHEN c IS NULL THEN 'no_outliers'
+    WHEN c < 2 THEN 'min_stall_count' WHEN late <= 6 THEN 'cold_start' END AS gate_failed, round(least(0.5 + (mx - thr) / thr * 0.3, 1.0), 3) AS sure
+  FROM sz LEFT JOIN h USING (session_id) LEFT JOIN b USING (session_id)
+  UNION ALL SELECT session_id, 'error_cascade', CASE WHEN n < 3 THEN 'min_events' WHEN coalesce(len, 0) < 3 THEN 'no_chains_above_min' END, round(least(len / 10.0, 1.0), 3) FROM sz LEFT JOIN r_best USING (session_id)
+  UNION ALL SELECT session_id, 'context_loss', CASE WHEN n < 6 THEN 'min_events' WHEN coalesce(gap, 0) < greatest(5, floor(n * 0.08)) THEN 'no_reread_candidates' END, least(gap / 10.0, 1.0) FROM sz LEFT JOIN cl USING (session_id))
+SELECT session_id, failure, gate_failed IS NULL AS fired, CASE WHEN gate_failed IS NULL THEN sure ELSE 0.0 END::DOUBLE AS confidence, gate_failed FROM o""")
+def failed_gates(spark, sf_dir):
+    return fr.failed_gates(bind.trace_events(spark, sf_dir), stall={"floor_ms": 20000.0})
+
+
 def evaluated(ev):
     """The trace with runs of an evaluation among its shell calls."""
     return ev.on(ev.df.withColumns({
