@@ -15,21 +15,22 @@ LOOSE = {"analysis": 2, "rate": 0.4, "executing": 4, "look": (3, 4), "min_interv
 
 
 def _session(rnd, name):
-    rows, tools = [], rnd.choice([["read_file", "bash", "edit_file", "commit", "grep", "pytest"], ["bash", "commit", "commit", "edit_file"]])
+    rows, tools = [], rnd.choice([["read_file", "bash", "edit_file", "commit", "grep", "pytest"], ["bash", "commit", "commit", "edit_file"],
+                                 ["read_file", "read_file", "bash", "edit_file"]])
     for step in range(1, rnd.randint(12, 34)):
         kind = rnd.choices(["tool_call", "reasoning", "user_input", "planning"], [12, 4, 1, 1])[0]
         tool = rnd.choice(tools) if kind == "tool_call" else None
         text = rnd.choice(["I will read it", "let me test it", "write now", "", None]) if kind in ("reasoning", "planning") else (
             rnd.choice(["next please", "it works", None]) if kind == "user_input" else None)
         latency = rnd.choice([60.0, 80.0, 100.0, 120.0, 150.0, 900.0 + rnd.randint(0, 3) * 100.0, 200_000.0])
-        rows.append((name, step, kind, tool, f"i{rnd.randint(0, 1)}", rnd.choice([f"o{rnd.randint(0, 7)}", None]), rnd.random() < 0.6, text, latency, 1))
+        rows.append((name, step, kind, tool, f"i{rnd.randint(0, 1)}", rnd.choice([f"o{rnd.randint(0, 1 if tool == 'read_file' else 7)}", None]), rnd.random() < 0.6, text, latency, 1))
     return rows
 
 
 @pytest.fixture(scope="module")
 def sessions():
     rnd = random.Random(11)
-    return {f"s{k}": _session(rnd, f"s{k}") for k in range(40)}
+    return {f"s{k}": _session(rnd, f"s{k}") for k in range(48)}
 
 
 def test_first_firings_equal_the_rules_on_every_prefix(spark, sessions):
@@ -52,7 +53,8 @@ def test_first_firings_equal_the_rules_on_every_prefix(spark, sessions):
             told = place
     whole = Ordered.of(spark.createDataFrame([r for rows in sessions.values() for r in rows], EVENT).repartition(4, "session_id"))
     got = {(r.session_id, r.failure, r.step, r.at_step, round(r.confidence, 6)) for r in fr.first_firings(whole, **LOOSE).collect()}
-    assert got == want and {w[1] for w in want} == set(fr.RULES)
+    assert sorted(got ^ want) == []
+    assert {w[1] for w in want} == set(fr.RULES)
     again = [w for w in want if w[1] in dt.REFIREABLE]
     assert len(again) > len({w[:2] for w in again})
     few = fr.first_firings(whole, ("stall", "error_cascade"), **LOOSE)
