@@ -10,7 +10,7 @@ SF = f"{ROOT}/sf0.001"
 # One query per kind of ordered operation, run again with sessions split into chunks.
 SPLIT = ["sliding_mi", "baseline_kl", "feedback_action_mi", "phase_segment_stats", "detect_context_loss", "detect_stall",
          "error_recovery_features", "awareness_features", "stale_reads", "change_points", "cognition_memory",
-         "decision_points", "merged_streams", "spearman_average", "first_firings"]
+         "decision_points", "merged_streams", "spearman_average", "first_firings", "cross_agent_information"]
 
 
 @pytest.fixture(scope="module")
