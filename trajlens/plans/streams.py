@@ -9,7 +9,7 @@ from trajlens.plans.sqltext import B1A, b1
 from trajlens.plans.windows import mi_sql
 from trajlens.sources import bind
 from trajlens.streaming import monitor as mo
-from trajlens.streaming import run
+from trajlens.streaming import reorder, run
 from trajlens.streaming.windows import tumbling
 
 
@@ -49,3 +49,29 @@ def stream_coordination(spark, sf_dir):
     folder = f"{run.shared_folder(spark)}/agents"
     bind.agent_events(spark, sf_dir).df.select("resource", "step", "agent_id", "is_read", "is_write").write.parquet(folder)
     return run.to_table(mo.coordinate(run.read_parts(spark, folder)))
+
+
+@query("stream_in_order", """SELECT user_id AS session_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events""")
+def stream_in_order(spark, sf_dir):
+    """Two sources whose events arrive up to six days late; a row of no session ends the stream.
+
+    Events leave a source by a time that lies a few days behind their own, so
+    every micro-batch holds rows that belong before rows of the last ones.
+    """
+    folder = run.shared_folder(spark)
+    events = bind.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    sent = (F.unix_micros("ts") / 1e6 / 86400 + F.pmod(F.xxhash64("event_id"), F.lit(6))).alias("sent")
+    whole = events.select("*", sent)
+    first, last = whole.agg(F.min("sent"), F.max("sent")).first()
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.timestamp_micros(F.lit(int((last + 30) * 86400e6))).alias("ts"),
+                                F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("event_type"))
+    for part in range(4):
+        low, high = first + (last - first) * part / 4, first + (last - first) * (part + 1) / 4
+        inside = (F.col("sent") >= low) & ((F.col("sent") < high) if part < 3 else F.lit(True))
+        for source, even in (("a", 0), ("b", 1)):
+            rows = whole.where(inside & (F.pmod(F.col("event_id"), F.lit(2)) == even)).drop("sent")
+            rows.coalesce(1).write.mode("append").parquet(f"{folder}/{source}")
+    end.write.mode("append").parquet(f"{folder}/a")
+    streams = [run.read_parts(spark, f"{folder}/{s}", 1) for s in ("a", "b")]
+    out = run.to_table(reorder.in_order(*streams, delay="20 days"))
+    return out.where("session_id <> -1").select("session_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "event_type", "step")

@@ -37,9 +37,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def read_parts(spark: SparkSession, folder: str) -> DataFrame:
+def read_parts(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """A folder of parquet part files as a stream."""
-    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema)
+    return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(folder)
 
 
 def to_table(stream: DataFrame) -> DataFrame:
