@@ -41,6 +41,8 @@ SIZE, MATCHES = 64, 32
 LONG_LIST = 32
 #: Comparisons with one hub in one run of rows.
 HUB_ROWS = 64
+#: Sets, and shingles in them, that a task holds of one block.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
 
 
 def _signed(texts: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     pairs = durable(pairs.select("a", "b").distinct())
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
-    runs = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / HUB_ROWS)).alias("run"))
+    runs = durable(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / HUB_ROWS)).alias("run")))
     wanted = runs.select(F.col("a").alias("hub"), "run", F.lit(0).alias("part"), F.col("a").alias("node")).distinct().union(
         runs.select("a", "run", F.lit(1), "b"))
 
@@ -161,8 +163,63 @@ def _by_signature(prefix: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(own, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long")
 
 
+def _blocks_compared(classes: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (``a, b``) between the members of paired classes (``ca, na, cb, nb``), by blocks and not by pairs.
+
+    The component with more members is the hub. All nodes paired with one size of
+    a hub meet its members of that size: both are dealt into blocks, and each
+    block of members goes once to each block of the others. A task holds a block
+    of sets and one other set. One link of a node to a block is enough to join it.
+    """
+    many = members.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
+    counted = classes.join(many.toDF("ca", "ma"), "ca").join(many.toDF("cb", "mb"), "cb")
+    swap = F.col("mb") > F.col("ma")
+    side = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    met = durable(counted.select(side("ca", "cb").alias("hub"), side("na", "nb").alias("size"), side("cb", "ca").alias("other"), side("nb", "na").alias("n")).distinct())
+    own = met.select("hub", "size").distinct().join(members.toDF("hub", "size", "node"), ["hub", "size"])
+    others = met.join(members.toDF("other", "n", "node"), ["other", "n"]).select("hub", "size", "node").distinct()
+    sets = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("size"))))
+    blocks = lambda rows, name: rows.groupBy("hub", "size").agg(F.count(F.lit(1)).alias(name)).withColumn(name, F.ceil(F.col(name) / sets))
+    shape = durable(blocks(own, "rows").join(blocks(others, "columns"), ["hub", "size"]))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(name)
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    key = ["hub", "size", "row", "column"]
+    dealt = own.join(shape, ["hub", "size"]).select("hub", "size", place("rows").alias("row"), each("columns", "column"), F.lit(0).alias("part"), "node").union(
+        others.join(shape, ["hub", "size"]).select("hub", "size", each("rows", "row"), place("columns").alias("column"), F.lit(1).alias("part"), "node"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, nodes, tokens, owner, sizes = None, [], [], None, None, None
+        for batch in batches:
+            found = []
+            for *own, part, node, text in zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6)):
+                s = shingle_set(text.as_py())
+                if own != at:
+                    at, held, nodes, tokens = own, [], [], None
+                if part == 0:
+                    held.append(s)
+                    nodes.append(node)
+                elif held:
+                    if tokens is None:
+                        sizes = np.array([len(x) for x in held])
+                        tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+                        order = np.argsort(tokens, kind="stable")
+                        tokens, owner = tokens[order], owner[order]
+                    low, high = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+                    length = high - low
+                    spread = np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())
+                    common = np.bincount(owner[spread], minlength=len(held))
+                    near = np.flatnonzero(100 * common >= PERCENT * (sizes + len(s) - common))
+                    if len(near):
+                        found.append((nodes[near[0]], node))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = dealt.join(texts, "node").select(*key, "part", "node", "text")
+    return durable(rows.repartition(*key).sortWithinPartitions(*key, "part").mapInArrow(compare, "a long, b long"))
+
+
 def _by_set(flagged: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates among the flagged nodes by the rarest part of their full sets, complete within PERCENT."""
+    """Links among the flagged nodes, by the rarest part of their full sets: complete within PERCENT."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -180,10 +237,9 @@ def _by_set(flagged: DataFrame, texts: DataFrame) -> DataFrame:
     least = F.ceil((na + nb) * PERCENT / (100 + PERCENT))
     near = _similar_size(na, nb) & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= least)
     groups = _across(prefix.groupBy("token", "component", "n").agg(F.min("at").alias("at")), near).select("ca", "na", "cb", "nb").distinct()
-    # Nodes of one component and size share most of their tokens, so each pair is made once and not once for every token.
-    members = prefix.select("component", "n", "node").distinct()
-    a, b = members.toDF("ca", "na", "a"), members.toDF("cb", "nb", "b")
-    return groups.join(a, ["ca", "na"]).join(b, ["cb", "nb"]).select("a", "b")
+    # Nodes of one component and size share most of their tokens, so classes of them are paired, and never their nodes.
+    members = durable(prefix.select("component", "n", "node").distinct())
+    return _blocks_compared(groups, members, texts)
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -240,7 +296,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prefix = durable(prefix.join(lengths, "token"))
     links.append(_confirmed(_by_signature(prefix.where(F.col("many") <= LONG_LIST).select("token", "node", "component", "n"), nodes), texts))
     flagged = prefix.where(F.col("many") > LONG_LIST).select("node", "component").distinct()
-    links.append(_confirmed(_by_set(flagged, texts), texts))
+    links.append(_by_set(flagged, texts))
 
     final = components(reduce(DataFrame.union, links))
     member = nodes.select("node", "doc", "digest").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
