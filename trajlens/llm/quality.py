@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.fitting import FIT_ROWS, labelled_sample, sigmoid
+from trajlens.llm.common import held_out
+from trajlens.llm.fitting import FIT_ROWS, sigmoid
 from trajlens.session import durable
 
 _UPPER = bytes(range(65, 91))
@@ -113,39 +114,54 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, least: float = 0.2) -> float:
     return float(np.clip(best, 0.01, 0.99))
 
 
-def fit_features(x: np.ndarray, trusted: np.ndarray) -> Model:
-    """A model from the features of the unlabelled documents, of which ``trusted`` marks the trusted positives."""
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = expand(x, mean, scale)
-    p, u = z[trusted], z
+def fit_features(p: np.ndarray, u: np.ndarray) -> Model:
+    """A model from the features of trusted positives and of unlabelled documents."""
+    mean, scale = u.mean(0), np.maximum(u.std(0), 1e-3)
+    p, u = expand(p, mean, scale), expand(u, mean, scale)
     # The first classifier takes the unlabelled for negatives; only its ranking is used.
     ranking = minimise_risk(p, u, 0.5, steps=600)
     prior = estimate_prior(p @ ranking, u @ ranking)
     return Model(mean, scale, minimise_risk(p, u, prior), prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model from at most ``rows`` labelled documents that are not held out.
+def samples(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """``doc_id, text, trusted``: up to ``rows`` trusted positives and as many unlabelled documents, of other ids.
 
-    Those labelled good are the trusted positives. All of them, with their
-    labels hidden, are the unlabelled texts; a label of 0 is never used. With
-    fewer than ten positives every text gets the score 0.5.
+    A hash of the id deals documents to two halves. The positives of one are
+    trusted; of the other all documents are unlabelled, whatever labels they
+    have, so they hold good texts in the share in which all documents do. Where
+    there are more, those with the smallest hashes are taken.
+    """
+    half = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(2))
+    known = F.col("doc_id").isNotNull() & ~held_out()
+    chosen = lambda ids, trusted: (ids.where(known & (half == int(trusted))).distinct()
+                                   .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("trusted", F.lit(trusted)))
+    ids = lambda table: table.select(F.col("doc_id").cast("long").alias("doc_id"))
+    both = chosen(ids(labels.where("quality = 1")), True).unionByName(chosen(ids(docs), False))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Twice ``rows`` ids at most, so the texts need not move.
+    return texts.join(F.broadcast(both), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS // 2) -> Model:
+    """A model from ``rows`` trusted positives and ``rows`` unlabelled documents at most, none of them held out.
+
+    No label but 1 is ever read. With fewer than ten positives or unlabelled
+    documents every text gets the score 0.5.
     """
-    sample = labelled_sample(docs, labels, "quality", rows)
-
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v == 1 for v in batch.column(2).to_pylist()], pa.bool_()),
-                                              pa.array(x, pa.list_(pa.float64()))], ["doc_id", "trusted", "x"])
-
-    # Some 26 numbers for each document of the bounded sample; sorted, so that sums come out alike in every run.
-    seen = sorted(durable(sample.mapInArrow(measure, "doc_id long, trusted boolean, x array<double>")).collect(), key=lambda r: (r.doc_id, r.x))
-    trusted = np.array([r.trusted for r in seen], dtype=bool)
-    if trusted.sum() < 10:
+            x = [features(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "trusted", "x"])
+
+    # Some 26 numbers for each document of the bounded samples; sorted, so that sums come out alike in every run.
+    seen = samples(docs, labels, rows).select("doc_id", "text", "trusted").mapInArrow(measure, "doc_id long, trusted boolean, x array<double>")
+    seen = sorted(durable(seen).collect(), key=lambda r: (r.doc_id, r.x))
+    p, u = (np.array([r.x for r in seen if r.trusted == t]).reshape(-1, len(NAMES)) for t in (True, False))
+    if min(len(p), len(u)) < 10:
         n = len(NAMES)
         return Model(np.zeros(n), np.ones(n), np.zeros(2 * n + 1), 0.5)
-    return fit_features(np.array([r.x for r in seen]), trusted)
+    return fit_features(p, u)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
