@@ -3,6 +3,7 @@
 import random
 import re
 import tempfile
+import time
 import zlib
 from collections import defaultdict
 
@@ -175,3 +176,14 @@ def test_tagged_expression_becomes_labels(spark):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert [h.label for h in got[1].hits] == ["mit", "gpl-2.0-only"] and got[1].expressions[0].permissive
     assert not got[2].expressions[0].valid and got[2].score == 0
+
+
+def test_places_of_licences_take_time_in_proportion_to_the_text():
+    automaton = licenses._automaton({"mit license": [("mit", "base")], "apache license": [("apache", "base")], "license apache license mit": [("x", "notice")]})
+    text = "mit license apache license " * 40_000
+    begin = time.process_time()
+    n, hits, _, _ = licenses.scan(text, automaton)
+    assert time.process_time() - begin < 5
+    assert n == 160_000 and [h["word"] for h in hits if h["label"] == "mit"] == list(range(0, n, 4))
+    assert [h["word"] for h in hits if h["label"] == "apache"] == list(range(2, n, 4))
+    assert [h["word"] for h in hits if h["label"] == "x"] == list(range(1, n - 4, 4))

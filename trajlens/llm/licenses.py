@@ -148,10 +148,11 @@ def _automaton(phrases: dict[str, list[tuple[str, str]]]) -> ahocorasick.Automat
 def scan(text: str, automaton: ahocorasick.Automaton) -> tuple[int, list[dict], list[dict], float]:
     words = text.encode().translate(_TO_WORDS).split()
     line = b" %b " % b" ".join(words)
-    hits, tagged = [], False
+    hits, tagged, counted, spaces = [], False, 0, 0
     for end, (size, labels) in automaton.iter(line.decode("latin-1")):
-        at = end - size + 1
-        word = line.count(b" ", 0, at + 1) - 1
+        # Hits come by their ends, so every part of the line is counted once.
+        spaces, counted = spaces + line.count(b" ", counted, end + 1), end + 1
+        word = spaces - line.count(b" ", end - size + 2, end + 1) - 1
         for label, kind in labels:
             tagged |= kind == "tag"
             hits.append({"label": label, "kind": kind, "word": word})
