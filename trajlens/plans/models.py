@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trajlens.operators import agreement as ag
 from trajlens.operators import evaluation as ev
 from trajlens.operators import models as md
+from trajlens.operators import study as sd
 from trajlens.operators import trajectories as tj
 from trajlens.plans.evaluation import DET, found, truth
 from trajlens.plans.features import COHERENCE
@@ -127,3 +128,43 @@ def construct_correlations(spark, sf_dir):
     turns = bind.turns(spark, sf_dir)
     counts = tj.tool_counts(tj.actions(turns)).groupBy("session_id").pivot("tool_name", TOOLS).agg(F.sum("n").cast("double")).na.fill(0)
     return md.max_correlations(tj.coherence(turns).join(counts, "session_id"), ["verb_align_rate", "target_match_rate"], TOOLS)
+
+
+CLASSED = f"""WITH {b1()}, c AS (SELECT session_id, session_id % 2 AS y, arg_min(event_type, step) AS opening, arg_max(event_type, step) AS ending, CASE WHEN max(k) % 10 = 0 THEN 'm' || (max(k) % 7) END AS model FROM b1 GROUP BY session_id),
+fo AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY sha256(CAST(session_id AS VARCHAR))) - 1) % 5 AS INTEGER) AS fold FROM c)"""
+
+
+def classed(spark, sf_dir):
+    """Sessions with an outcome, three categories and a stratified fold."""
+    ev = bind.events(spark, sf_dir)
+    top = F.max("k")
+    per = ev.df.groupBy("session_id").agg(F.min_by("event_type", "step").alias("opening"), F.max_by("event_type", "step").alias("ending"),
+                                          F.when(top % 10 == 0, F.concat(F.lit("m"), (top % 7).cast("string"))).alias("model"),
+                                          F.count("*").alias("events"), F.count(F.when(~F.col("success"), 1)).alias("errors"))
+    return sd.stratified_folds(per.withColumn("y", F.col("session_id") % 2), "session_id", "y")
+
+
+@query("stratified_outcome_folds", f"{CLASSED} SELECT session_id, y, fold FROM fo")
+def stratified_outcome_folds(spark, sf_dir):
+    return classed(spark, sf_dir).select("session_id", "y", "fold")
+
+
+@query("known_levels", f"""{CLASSED}, l AS (SELECT fold, unnest(['opening', 'ending', 'model']) AS "column", unnest([opening, ending, coalesce(model, 'None')]) AS level FROM fo),
+p AS (SELECT "column", level, fold, count(*) AS rows FROM l GROUP BY ALL)
+SELECT *, sum(rows) OVER (PARTITION BY "column", level) > rows AS known FROM p""")
+def known_levels(spark, sf_dir):
+    return sd.known_levels(classed(spark, sf_dir), ["opening", "ending", "model"])
+
+
+@query("study_decision")
+def study_decision(spark, sf_dir):
+    """Whether all tools' calls tell the outcome, and add to length, errors and categories."""
+    turns = bind.turns(spark, sf_dir)
+    tools = sd.counted(tj.actions(turns).df, "session_id", "tool_name", "tool")
+    rows = durable(classed(spark, sf_dir).join(tools, "session_id", "left"))
+    signal = sd.above_null(sd.named_logistic(rows, "session_id", "y", [], F.col("named"), 19))
+    trivial = ["events", "errors"]
+    kinds = sd.one_hot("opening", "ending", "model")
+    base = sd.named_logistic(rows, "session_id", "y", trivial, kinds)
+    full = sd.named_logistic(rows, "session_id", "y", trivial, F.concat(kinds, F.coalesce("named", F.array())))
+    return sd.decide(signal, md.bootstrap_auc_gain(base, full, 100))
