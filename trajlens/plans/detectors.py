@@ -102,13 +102,23 @@ FACTS = f""", f AS (SELECT session_id, count(*) AS n_events, max(step) AS last_s
 SHIPPING = T.replace("WHEN 'purchase' THEN 'edit_file' WHEN 'error' THEN 'pytest'", "WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'npm'").replace(
     "WHEN tool = 'pytest' THEN 4 WHEN tool IN ('bash', 'edit_file') THEN 3", "WHEN tool = 'commit' THEN 5 WHEN tool IN ('bash', 'npm') THEN 3").replace(
     "tool IN ('bash', 'edit_file', 'pytest')", "tool IN ('bash', 'commit')")
+# Half of the edits read as commits and all test runs as builds: nothing is verified, and every rule of a prefix finds cases.
+MIXED = T.replace("WHEN 'purchase' THEN 'edit_file' WHEN 'error' THEN 'pytest'", "WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'commit' ELSE 'edit_file' END WHEN 'error' THEN 'npm'").replace(
+    "WHEN tool = 'pytest' THEN 4 WHEN tool IN ('bash', 'edit_file') THEN 3", "WHEN tool = 'commit' THEN 5 WHEN tool IN ('bash', 'edit_file', 'npm') THEN 3").replace(
+    "tool IN ('bash', 'edit_file', 'pytest')", "tool IN ('bash', 'edit_file', 'commit')")
+
+
+def mixed_trace(spark, sf_dir):
+    ev = bind.trace_events(spark, sf_dir)
+    tool = F.when((F.col("tool") == "edit_file") & (F.col("k") % 2 == 0), "commit").when(F.col("tool") == "pytest", "npm").otherwise(F.col("tool"))
+    return ev.on(ev.df.withColumn("tool", tool))
 
 
-@query("detect_missing_verification", f"""WITH {T}{FACTS}
+@query("detect_missing_verification", f"""WITH {MIXED}{FACTS}
 SELECT session_id, least(ex / 15.0, 0.9) AS confidence, last_step AS at_step, ex AS execution_events, n_events AS total_events
 FROM f WHERE ex >= 5 AND vf = 0 AND NOT delegated AND wrote AND cur NOT IN (1, 2)""")
 def detect_missing_verification(spark, sf_dir):
-    return dt.missing_verification(bind.trace_events(spark, sf_dir), 5)
+    return dt.missing_verification(mixed_trace(spark, sf_dir), 5)
 
 
 @query("detect_premature_termination", f"""WITH {SHIPPING}{FACTS}
@@ -236,10 +246,6 @@ def detect_recovery_failure(spark, sf_dir):
     return dt.recovery_failure(bind.trace_events(spark, sf_dir), rate=0.3)
 
 
-# Half of the edits read as commits and test runs as builds, so that every rule of a prefix finds cases.
-MIXED = T.replace("WHEN 'purchase' THEN 'edit_file' WHEN 'error' THEN 'pytest'", "WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'commit' ELSE 'edit_file' END WHEN 'error' THEN 'npm'").replace(
-    "WHEN tool = 'pytest' THEN 4 WHEN tool IN ('bash', 'edit_file') THEN 3", "WHEN tool = 'commit' THEN 5 WHEN tool IN ('bash', 'edit_file', 'npm') THEN 3").replace(
-    "tool IN ('bash', 'edit_file', 'pytest')", "tool IN ('bash', 'edit_file', 'commit')")
 FIRING = f"""{MIXED}, f AS (SELECT *, NOT success AS err, type = 'tool_call' AS is_call, row_number() OVER o AS n,
     count(*) FILTER (WHERE NOT success) OVER o AS errors, count(*) FILTER (WHERE type = 'tool_call') OVER o AS calls,
     count(*) FILTER (WHERE type = 'tool_call' AND success) OVER o AS goods, count(*) FILTER (WHERE class_rank = 3) OVER o AS ex,
@@ -286,12 +292,6 @@ fired AS (SELECT session_id, failure, step, at_step, confidence FROM all_of QUAL
 LOOSE = {"analysis": 3, "rate": 0.3, "executing": 5, "look": (3, 4), "stall": {"floor_ms": 20000.0}}
 
 
-def mixed_trace(spark, sf_dir):
-    ev = bind.trace_events(spark, sf_dir)
-    tool = F.when((F.col("tool") == "edit_file") & (F.col("k") % 2 == 0), "commit").when(F.col("tool") == "pytest", "npm").otherwise(F.col("tool"))
-    return ev.on(ev.df.withColumn("tool", tool))
-
-
 @query("first_firings", f"WITH {FIRING} SELECT session_id, failure, step, at_step, confidence::DOUBLE AS confidence FROM fired")
 def first_firings(spark, sf_dir):
     return fr.first_firings(mixed_trace(spark, sf_dir), **LOOSE)

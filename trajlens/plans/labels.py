@@ -120,10 +120,10 @@ def label_filters(spark, sf_dir):
         F.bool_and(F.col("annotator_type") == "detector").alias("is_unlabeled"))
 
 
-@query("unlabeled_sessions", f"""WITH {LR} SELECT DISTINCT session_id FROM lr WHERE session_id NOT IN (SELECT session_id FROM lr WHERE annotator_type <> 'detector' AND has_failure)""")
+@query("unlabeled_sessions", f"""WITH {LR} SELECT DISTINCT session_id FROM lr WHERE session_id NOT IN (SELECT session_id FROM lr WHERE annotator_type = 'adjudicated' AND has_failure)""")
 def unlabeled_sessions(spark, sf_dir):
     r = records(spark, sf_dir)
-    labelled = r.where((F.col("annotator_type") != "detector") & F.col("has_failure")).select("session_id")
+    labelled = r.where((F.col("annotator_type") == "adjudicated") & F.col("has_failure")).select("session_id")
     return r.select("session_id").distinct().join(labelled, "session_id", "left_anti")
 
 

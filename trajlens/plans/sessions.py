@@ -74,10 +74,10 @@ WORDS = "list_distinct(regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1))
 
 @query("reprompts", f"""WITH {B3}, w AS (SELECT session_id, turn, {WORDS} AS s FROM b3 WHERE role = 'user')
 SELECT DISTINCT b.session_id, b.turn FROM w a JOIN w b ON a.session_id = b.session_id AND a.turn < b.turn
-WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.3""")
+WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.1""")
 def reprompts(spark, sf_dir):
     said = bind.conversation_turns(spark, sf_dir).df.where("role = 'user'")
-    return ss.reprompts(said, "turn", 0.3)
+    return ss.reprompts(said, "turn", 0.1)
 
 
 @query("turn_similarity", f"""WITH {B3}, w AS (SELECT session_id, turn, {WORDS} AS s FROM b3), l AS (SELECT *, lag(s) OVER (PARTITION BY session_id ORDER BY turn) AS p FROM w)
