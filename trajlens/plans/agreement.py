@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trajlens.functions import text as tx
 from trajlens.operators import agreement as ag
+from trajlens.operators import ranktests as rt
 from trajlens.operators import stats
 from trajlens.plans.registry import query
 from trajlens.plans.sqltext import B6, b1
@@ -204,3 +205,42 @@ def wilcoxon_signed_rank(spark, sf_dir):
     n, w = F.count("*").cast("double"), F.sum(F.when(F.col("d") > 0, F.col("r")))
     return ranked.agg(F.count("*").alias("n_pairs"), w.alias("w_plus"),
                       F.round((w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24), 6).alias("z"))
+
+
+def TAIL(z: str) -> str:
+    """Upper tail of the standard normal law at ``z``, by the approximation the library takes."""
+    poly = "(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))))"
+    poly = poly.replace("t *", f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) *")
+    return f"(CASE WHEN {z} < 0 THEN 1 - 0.5 * {poly} * exp(-({z}) * ({z}) / 2) ELSE 0.5 * {poly} * exp(-({z}) * ({z}) / 2) END)"
+
+
+@query("wilcoxon_test", f"""WITH {SP}, d AS (SELECT y - x AS d FROM xy), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM r GROUP BY abs(d))),
+w AS (SELECT (SELECT count(*) FROM d) AS n_pairs, count(*) AS n_used, CAST(coalesce(sum(r) FILTER (WHERE d > 0), 0) AS DOUBLE) AS w_plus, any_value(ties) AS ties FROM r, t),
+z AS (SELECT *, (w_plus - n_used * (n_used + 1) / 4.0) / sqrt((n_used * (n_used + 1) * (2 * n_used + 1) - ties / 2.0) / 24.0) AS z FROM w)
+SELECT n_pairs, n_used, w_plus, round({TAIL('z')}, 5) AS p_value, {TAIL('z')} < 0.05 AS significant FROM z""")
+def wilcoxon_test(spark, sf_dir):
+    return rt.wilcoxon(xy(spark, sf_dir), "y", "x")
+
+
+# The lower incomplete gamma function as its power series.
+@query("kruskal_test", f"""WITH {SP}, r AS (SELECT g, y, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry, count(*) OVER () AS n FROM xy),
+gs AS (SELECT g, sum(ry) AS s, count(*) AS c, any_value(n) AS n FROM r GROUP BY g), ts AS (SELECT sum(t * t * t - t) AS tie FROM (SELECT count(*) AS t FROM xy GROUP BY y)),
+h AS (SELECT count(*) AS n_groups, (12.0 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / c) - 3 * (any_value(n) + 1))
+  / (1 - any_value(tie) / (any_value(n) * any_value(n) * any_value(n) - any_value(n))) AS h FROM gs, ts),
+p AS (SELECT *, 1 - list_sum(list_transform(range(0, 300), lambda j: exp(((n_groups - 1) / 2.0 + j) * ln(h / 2) - h / 2 - lgamma((n_groups - 1) / 2.0 + j + 1)))) AS p FROM h)
+SELECT n_groups, round(h, 6) AS h, round(p, 5) AS p_value, p < 0.05 AS significant FROM p""")
+def kruskal_test(spark, sf_dir):
+    return rt.kruskal(xy(spark, sf_dir), "g", "y")
+
+
+@query("pairwise_mann_whitney", f"""WITH {SP}, pr AS (SELECT a.g AS group_a, b.g AS group_b, sum(CASE WHEN a.y > b.y THEN 1.0 WHEN a.y = b.y THEN 0.5 ELSE 0 END) AS u
+    FROM xy a JOIN xy b ON a.g < b.g GROUP BY ALL),
+c AS (SELECT g, count(*) AS n FROM xy GROUP BY g), m AS (SELECT count(*) * (count(*) - 1) / 2 AS pairs FROM c),
+t AS (SELECT group_a, group_b, sum(k * k * k - k) AS ties FROM (SELECT group_a, group_b, y, count(*) AS k FROM pr JOIN xy ON g IN (group_a, group_b) GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT pr.group_a, pr.group_b, CAST(u AS DOUBLE) AS u, greatest(abs(u - a.n * b.n / 2.0) - 0.5, 0) / sqrt(a.n * b.n / 12.0 * (a.n + b.n + 1 - ties / ((a.n + b.n) * (a.n + b.n - 1)))) AS z
+  FROM pr JOIN c a ON a.g = group_a JOIN c b ON b.g = group_b JOIN t ON t.group_a = pr.group_a AND t.group_b = pr.group_b),
+p AS (SELECT z.*, least(2 * {TAIL('z')}, 1.0) AS p, pairs FROM z, m)
+SELECT group_a, group_b, u, round(p, 5) AS p_raw, round(least(p * pairs, 1.0), 5) AS p_adjusted, least(p * pairs, 1.0) < 0.05 AS significant FROM p""")
+def pairwise_mann_whitney(spark, sf_dir):
+    return rt.pairwise_mann_whitney(xy(spark, sf_dir), "g", "y")
