@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 PASS_WORDS = 2_000_000
 #: Words of documents a task works on at a time.
 CHUNK_WORDS = 1_000_000
+#: The same where the documents' other columns wait for the decision.
+KEPT_WORDS = 200_000
 #: Windows embedded at a time.
 WINDOWS = 50_000
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -212,13 +214,13 @@ def passes(items: DataFrame, settings: Settings) -> Iterator[Index]:
         yield Index([(r.item_id, r.text) for r in rows], settings)
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Runs of a batch's rows with their words, of about CHUNK_WORDS words each."""
+def _slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Runs of a batch's rows with their words, of about ``size`` words each."""
     begin, texts, held = 0, [], 0
     for row, text in enumerate(batch.column(column)):
         texts.append(words_of(text.as_py() or ""))
         held += len(texts[-1])
-        if held >= CHUNK_WORDS or row == batch.num_rows - 1:
+        if held >= size or row == batch.num_rows - 1:
             yield batch.slice(begin, row + 1 - begin), texts
             begin, texts, held = row + 1, [], 0
 
@@ -242,7 +244,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(
         def look(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             lengths = {i: len(s) for i, s in zip(index.ids, index.sequences)}
             for batch in batches:
-                for rows, texts in _slices(batch, 1):
+                for rows, texts in _slices(batch, 1, CHUNK_WORDS):
                     found = [(d, i, e, lengths[i], last, places) for d, m in zip(rows.column(0).to_pylist(), index.matches(texts))
                              for i, (e, last, places) in sorted(m.items())]
                     if found:
@@ -254,16 +256,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item; null texts hold none.
+    """The rows of ``docs``, with all their columns, that hold no item; null and empty texts hold none.
 
-    Rows pass through in one pass for each pass of items, without a shuffle.
+    Repeated rows all go or all stay, null ids take part like any others, an empty
+    table or benchmark takes nothing away. One pass for each pass of items,
+    without a shuffle; only texts go to Python, and only the decisions come back.
     """
-    place = docs.columns.index(text_col)
-    for index in passes(items, settings):
-        def kept(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for rows, texts in _slices(batch, place):
-                    yield rows.filter(pa.array([not m for m in index.matches(texts)], pa.bool_()))
+    def without(index: Index):
+        @F.arrow_udf("boolean")
+        def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in columns:
+                out: list[bool] = []
+                for _, words in _slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, KEPT_WORDS):
+                    out += [not m for m in index.matches(words)]
+                pa.default_memory_pool().release_unused()
+                yield pa.array(out, pa.bool_())
+
+        return clean
 
-        docs = docs.mapInArrow(kept, docs.schema)
+    for index in passes(items, settings):
+        docs = docs.where(without(index)(F.col(text_col).cast("string")))
     return docs

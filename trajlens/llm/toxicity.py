@@ -242,14 +242,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores below ``threshold``.
 
-    Null texts count as empty. Rows pass through in one pass without a shuffle.
+    Null and empty texts score as texts without evidence. Repeated rows all go or
+    all stay, null ids take part like any others, an empty table gives no rows.
+    Only texts go to Python, and only the decisions come back.
     """
-    place = docs.columns.index(text_col)
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer, w = _Scorer(model), np.array(model.weights)
-        for batch in batches:
-            x = [[*scorer.document(t or "")[0], 1.0] for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(sigmoid(np.array(x) @ w) < threshold)) if x else batch
-
-    return docs.mapInArrow(kept, docs.schema)
+        for texts in columns:
+            out = []
+            for at in range(0, len(texts), COUNTED_TEXTS):
+                x = [[*scorer.document(t or "")[0], 1.0] for t in texts.slice(at, COUNTED_TEXTS).to_pylist()]
+                out.append(sigmoid(np.array(x) @ w) < threshold)
+            pa.default_memory_pool().release_unused()
+            yield pa.array(np.concatenate(out) if out else np.empty(0, bool))
+
+    return docs.where(clean(F.col(text_col).cast("string")))
