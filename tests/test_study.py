@@ -39,8 +39,11 @@ def test_folds_hold_each_label_alike(rows):
         assert max(sizes) - min(sizes) <= 1
 
 
-def test_scores_equal_dense_one_hot_fits(rows):
+@pytest.mark.parametrize("limits", [(50_000, 2_000_000), (40, 0)])
+def test_scores_equal_dense_one_hot_fits(rows, monkeypatch, limits):
     """Levels no training row has say nothing about the held-out rows that have them."""
+    monkeypatch.setattr(sd, "TASK_ROWS", limits[0])
+    monkeypatch.setattr(sd, "SENT_NUMBERS", limits[1])
     got = {r.id_hash: r.score for r in sd.named_logistic(rows, "id", "y", ["length", "gap"], F.concat(sd.one_hot("tool", "rare"), "named")).collect()}
     data = rows.withColumn("h", F.xxhash64("id")).collect()
     for fold in range(5):

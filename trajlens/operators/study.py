@@ -22,6 +22,8 @@ from trajlens.session import durable
 
 #: Names a model may have; their weights are sent to every task.
 MAX_NAMES = 200_000
+#: Rows a task of a pass takes at least, and numbers that the tasks of a pass may send to the driver without being added up by Spark.
+TASK_ROWS, SENT_NUMBERS = 50_000, 2_000_000
 
 
 def stratified_folds(df: DataFrame, ident: str, label: str, k: int = 5) -> DataFrame:
@@ -153,6 +155,8 @@ def named_logistic(df: DataFrame, ident: str, label: str, numeric: Sequence[str]
             yield pdf.drop(columns="_n")
 
     data = durable(rows.mapInPandas(encode, "_h long, fold int, _y double, _x array<double>, _at array<int>, _v array<double>"))
+    tasks = min(max(1, -(-data.count() // TASK_ROWS)), data.rdd.getNumPartitions())
+    data = data.coalesce(tasks)
     sums = {r.fold: r for r in data.select("fold", F.posexplode("_x")).groupBy("fold", "pos").agg(F.count("*").alias("n"), F.sum("col").alias("s"), F.sum(F.col("col") ** 2).alias("ss"))
             .groupBy("fold").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "s", "ss"))).alias("m")).collect()} if q else {}
     mean, sd = np.zeros((k, q)), np.ones((k, q))
@@ -189,13 +193,26 @@ def named_logistic(df: DataFrame, ident: str, label: str, numeric: Sequence[str]
             cells = np.flatnonzero(flat)
             yield pd.DataFrame({"cell": cells, "v": flat[cells]})
 
-        got = data.mapInPandas(reduce_rows, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
-        flat = np.zeros(k * r * (size + 1))
-        flat[got["cell"].to_numpy()] = got["v"].to_numpy()
+        cells = k * r * (size + 1)
+        got = data.mapInPandas(reduce_rows, "cell long, v double")
+        if tasks * cells > SENT_NUMBERS:
+            got = got.groupBy("cell").agg(F.sum("v").alias("v"))
+        got = got.toPandas()
+        flat = np.bincount(got["cell"].to_numpy(np.int64), got["v"].to_numpy(float), minlength=cells)
         flat = flat.reshape(k * r, size + 1)
         return flat[:, 0] + 0.5 * (penalty * w * w).sum(1), flat[:, 1:] + penalty * w
 
-    final = least(evaluate, k * r, size).reshape(k, r, size)
+    # Half the root of a feature's squares bounds its curvature; in that scale, one step suits all features.
+    squares = np.full(size, float(max(1, data.count())))
+    for row in data.select(F.explode(F.arrays_zip("_at", "_v")).alias("e")).groupBy("e._at").agg(F.sum(F.col("e._v") ** 2).alias("s")).collect():
+        squares[1 + q + row["_at"]] = row["s"]
+    scale = 1 / np.sqrt(0.25 * squares + penalty)
+
+    def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value, grad = evaluate(v * scale)
+        return value, grad * scale
+
+    final = (least(scaled, k * r, size, tolerance=1e-5) * scale).reshape(k, r, size)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
