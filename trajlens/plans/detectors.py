@@ -333,7 +333,16 @@ def evaluated(ev):
         "goal_text": F.when((F.col("tool") == "bash") & (F.col("k") % 2 == 0), "pytest accuracy: 0.5").otherwise(F.col("goal_text"))}))
 
 
-@query("detect_strategic_myopia")
+# In this trace every evaluation reports 0.5, no edit and no read names a path, and an edit's target is its input.
+@query("detect_strategic_myopia", f"""WITH {T}, e AS (SELECT *, coalesce(tool = 'bash' AND k % 2 = 0, false) AS ev, coalesce(tool = 'edit_file', false) AS ed FROM bm),
+s AS (SELECT session_id, count(*) AS n, count(*) FILTER (WHERE ev) AS evals, max(step) FILTER (WHERE ev) AS at_step, count(*) FILTER (WHERE ed) AS edits,
+  count(*) FILTER (WHERE tool = 'read_file') AS reads FROM e GROUP BY session_id),
+l AS (SELECT session_id, count(*) AS late, count(*) FILTER (WHERE class_rank IN (1, 2)) AS exploring FROM e JOIN s USING (session_id) WHERE step > floor(n / 4) GROUP BY session_id),
+c AS (SELECT session_id, input_hash, count(*) AS c FROM e WHERE ed GROUP BY session_id, input_hash),
+t AS (SELECT session_id, sum(c) AS top FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY c DESC, input_hash) <= 3) GROUP BY session_id),
+g AS (SELECT *, CAST(evals >= 3 AS INTEGER) + CAST(reads >= 10 AS INTEGER) + CAST(exploring / late < 0.05 AS INTEGER) AS signals FROM s JOIN l USING (session_id) JOIN t USING (session_id))
+SELECT session_id, round(least(0.4 + signals * 0.15, 0.85), 3)::DOUBLE AS confidence, at_step, evals - 1 AS eval_cycles, round(top / edits, 3)::DOUBLE AS edit_concentration,
+  edits AS total_edits, signals AS optional_signals FROM g WHERE n >= 40 AND evals - 1 >= 4 AND edits >= 4 AND top / edits >= 0.8 AND signals >= 2""")
 def detect_strategic_myopia(spark, sf_dir):
     return dt.strategic_myopia(evaluated(bind.trace_events(spark, sf_dir)), min_edits=4)
 
