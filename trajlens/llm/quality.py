@@ -118,9 +118,15 @@ def fit_features(p: np.ndarray, u: np.ndarray) -> Model:
     """A model from the features of trusted positives and of unlabelled documents."""
     mean, scale = u.mean(0), np.maximum(u.std(0), 1e-3)
     p, u = expand(p, mean, scale), expand(u, mean, scale)
-    # The first classifier takes the unlabelled for negatives; only its ranking is used.
-    ranking = minimise_risk(p, u, 0.5, steps=600)
-    prior = estimate_prior(p @ ranking, u @ ranking)
+    # The first classifiers take the unlabelled for negatives; only their ranking is used, and each ranks the half it has not seen:
+    # what it has seen it tells apart too well, which would make the prior too small.
+    ranks = np.zeros(len(p)), np.zeros(len(u))
+    for half in (0, 1):
+        seen, other = slice(half, None, 2), slice(1 - half, None, 2)
+        ranking = minimise_risk(p[seen], u[seen], 0.5, steps=600)
+        for own, x in zip(ranks, (p, u)):
+            own[other] = x[other] @ ranking
+    prior = estimate_prior(*ranks)
     return Model(mean, scale, minimise_risk(p, u, prior), prior)
 
 
