@@ -86,3 +86,16 @@ def test_many_names_are_refused_and_none_are_fine(rows, monkeypatch):
     monkeypatch.setattr(sd, "MAX_NAMES", 3)
     with pytest.raises(ValueError):
         sd.named_logistic(rows, "id", "y", [], sd.one_hot("tool"))
+
+
+def test_counts_that_add_up_to_a_total_settle(spark):
+    """Length, its parts and their names are nearly one feature."""
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(400):
+        n = rng.integers(5, 60, 5)
+        data.append((i, int(i % 2), float(n.sum() + (i % 3 == 0)), float(n[4]), [(f"t{j}", float(c)) for j, c in enumerate(n)]))
+    df = spark.createDataFrame(data, "id long, y int, events double, errors double, named array<struct<name:string,value:double>>")
+    rows = sd.stratified_folds(df, "id", "y")
+    scores = sd.named_logistic(rows, "id", "y", ["events", "errors"], F.col("named"), 2)
+    assert scores.count() == 3 * 400

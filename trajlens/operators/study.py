@@ -24,6 +24,7 @@ from trajlens.session import durable
 MAX_NAMES = 200_000
 #: Rows a task of a pass takes at least, and numbers that the tasks of a pass may send to the driver without being added up by Spark.
 TASK_ROWS, SENT_NUMBERS = 50_000, 2_000_000
+BLOCK = 128   # names, the heaviest, whose products are summed
 
 
 def stratified_folds(df: DataFrame, ident: str, label: str, k: int = 5) -> DataFrame:
@@ -129,6 +130,47 @@ class _Rows:
         return np.vstack([off.sum(0), ((self.x - mean) / sd).T @ off, named]).T
 
 
+def curvature_roots(data: DataFrame, block: np.ndarray, q: int, size: int, mean: np.ndarray, sd: np.ndarray, penalty: np.ndarray, tasks: int) -> np.ndarray:
+    """Per fold a root of the inverse of the bound on the curvature in the ``block`` of weights: a quarter of the training rows' products, and the penalty.
+
+    It depends on the features alone, so all replicates share it. Tasks send sums of products.
+    """
+    k, b = len(mean), len(block)
+    place = np.full(size, -1)
+    place[block] = np.arange(b)
+
+    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, b, b))
+        for pdf in batches:
+            batch = _Rows(pdf, q)
+            dense = np.zeros((len(pdf), b))
+            dense[:, 0], dense[:, 1:1 + q] = 1, batch.x
+            at = place[1 + q + batch.at]
+            here = at >= 0
+            np.add.at(dense, (batch.row[here], at[here]), batch.value[here])
+            for f in range(k):
+                held = dense[batch.fold == f]
+                total[f] += held.T @ held
+        flat = total.ravel()
+        cells = np.flatnonzero(flat)
+        yield pd.DataFrame({"cell": cells, "v": flat[cells]})
+
+    got = data.mapInPandas(reduce_rows, "cell long, v double")
+    if tasks * k * b * b > SENT_NUMBERS:
+        got = got.groupBy("cell").agg(F.sum("v").alias("v"))
+    got = got.toPandas()
+    held = np.bincount(got["cell"].to_numpy(np.int64), got["v"].to_numpy(float), minlength=k * b * b).reshape(k, b, b)
+    roots = np.zeros((k, b, b))
+    for f in range(k):
+        turn = np.eye(b)
+        turn[range(1, 1 + q), range(1, 1 + q)] = 1 / sd[f]
+        turn[0, 1:1 + q] = -mean[f] / sd[f]
+        bound = 0.25 * turn.T @ (held.sum(0) - held[f]) @ turn + np.diag(penalty)
+        bound += 1e-9 * np.diag(np.diag(bound) + 1)
+        roots[f] = np.linalg.inv(np.linalg.cholesky(bound)).T
+    return roots
+
+
 def named_logistic(df: DataFrame, ident: str, label: str, numeric: Sequence[str] = (), named: Column | None = None, null_replicates: int = 0, k: int = 5) -> DataFrame:
     """Out-of-fold scores ``id_hash, replicate, fold, y, score`` of L2 logistic regression.
 
@@ -202,17 +244,25 @@ def named_logistic(df: DataFrame, ident: str, label: str, numeric: Sequence[str]
         flat = flat.reshape(k * r, size + 1)
         return flat[:, 0] + 0.5 * (penalty * w * w).sum(1), flat[:, 1:] + penalty * w
 
-    # Half the root of a feature's squares bounds its curvature; in that scale, one step suits all features.
+    # Half the root of a feature's squares bounds its curvature; in that scale, one step suits all features apart.
     squares = np.full(size, float(max(1, data.count())))
     for row in data.select(F.explode(F.arrays_zip("_at", "_v")).alias("e")).groupBy("e._at").agg(F.sum(F.col("e._v") ** 2).alias("s")).collect():
         squares[1 + q + row["_at"]] = row["s"]
     scale = 1 / np.sqrt(0.25 * squares + penalty)
+    # Features that nearly add up to each other, as counts and their total do, need their products as well.
+    block = np.concatenate([np.arange(1 + q), 1 + q + np.argsort(-squares[1 + q:], kind="stable")[:BLOCK]])
+    roots = curvature_roots(data, block, q, size, mean, sd, penalty[block], tasks)
+
+    def unscaled(v: np.ndarray, turned: np.ndarray) -> np.ndarray:
+        out = v * scale
+        out.reshape(k, r, size)[:, :, block] = v.reshape(k, r, size)[:, :, block] @ turned
+        return out
 
     def scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        value, grad = evaluate(v * scale)
-        return value, grad * scale
+        value, grad = evaluate(unscaled(v, roots.transpose(0, 2, 1)))
+        return value, unscaled(grad, roots)
 
-    final = (least(scaled, k * r, size, tolerance=1e-5) * scale).reshape(k, r, size)
+    final = unscaled(least(scaled, k * r, size, tolerance=1e-5), roots.transpose(0, 2, 1)).reshape(k, r, size)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
