@@ -102,7 +102,7 @@ def calibrated(ev: Ordered, metrics: tuple[str, ...], calibration: int = 100, se
     for m in metrics:
         v = F.when(first & ~F.isnan(m), F.col(m))
         aggs[f"_mean_{m}"], aggs[f"_std_{m}"] = F.avg(v), F.stddev_samp(v)
-    based = ev.totals(**aggs)
+    based = ev.totals(upto=calibration, **aggs)
     cols = {}
     for m in metrics:
         mean, std, v = F.col(f"_mean_{m}"), F.col(f"_std_{m}"), F.col(m)
@@ -151,7 +151,7 @@ def gradual_decline(ev: Ordered, metric: str, calibration: int = 100, window: in
     """Steps where the recent slope is clearly negative and the value is low for the session."""
     first = F.col(ev.order) <= calibration
     v = F.when(first, F.col(metric))
-    based = ev.totals(_mean=F.avg(v), _std=F.stddev_samp(v))
+    based = ev.totals(upto=calibration, _mean=F.avg(v), _std=F.stddev_samp(v))
     y = F.when(F.col(ev.order) > calibration, F.col(metric))
     x = F.col(ev.order)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+from itertools import zip_longest
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from trajlens.functions import infotheory as it
@@ -30,8 +33,21 @@ def window_sums(ev: Ordered, window: int, sums: dict[str, str], gain=it.entropy_
     symbol), so a row costs the occurrences of its own symbol and nothing else.
     The change itself is kept as ``out_step``.
     """
+    back, stages, helpers = _sum_stages(window, sums, gain, before)
+    framed = ev.frame(back, 0, *stages)
+    return framed.on(framed.df.drop(*helpers))
+
+
+def _sum_stages(window: int, sums: dict[str, str], gain=it.entropy_gain,
+                before: dict[str, Framed] | None = None) -> tuple[int, list[dict[str, Framed]], list[str]]:
+    """The reach, the stages and the helper columns of ``window_sums``.
+
+    Gains of a symbol's counts add up to a function of its count, so changes summed
+    from any row that lies before the window give the sum of the window itself: the
+    rows a frame copies suffice, and nothing is carried over from earlier ones.
+    """
     one = F.lit(1)
-    counts, changes = {}, {}
+    counts, changes, running = {}, {}, {}
     for out, symbol in sums.items():
         counts[f"_in_{out}"] = ((symbol,), lambda w: F.count(one).over(w.rangeBetween(1 - window, 0)))
         counts[f"_out_{out}"] = ((symbol,), lambda w: F.count(one).over(w.rangeBetween(0, window - 1)))
@@ -43,11 +59,11 @@ def window_sums(ev: Ordered, window: int, sums: dict[str, str], gain=it.entropy_
     for out in sums:
         changes[f"{out}_step"] = lambda w, out=out: (
             F.col(f"_gain_{out}") - F.coalesce(F.lag(f"_loss_{out}", window).over(w), F.lit(0)))
-    stages.append(changes)
-    framed = ev.frame(window + (1 if before else 0), 0, *stages)
-    summed = framed.running(**{out: ("sum", F.col(f"{out}_step")) for out in sums})
+        running[out] = lambda w, out=out: F.coalesce(
+            F.sum(f"{out}_step").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    stages += [changes, running]
     helpers = [f"_{p}_{out}" for out in sums for p in ("in", "out", "gain", "loss")]
-    return summed.on(summed.df.drop(*helpers))
+    return window + (1 if before else 0), stages, helpers
 
 
 def sliding_entropy(ev: Ordered, symbol: str = "symbol", window: int = WINDOW,
@@ -64,34 +80,45 @@ def _pair_stage(symbol: str) -> dict[str, Framed]:
         F.lag(symbol).over(w).isNotNull(), F.concat_ws("\u0001", F.lag(symbol).over(w), symbol))}
 
 
-def _with_pairs(ev: Ordered, symbol: str, window: int) -> Ordered:
-    """Sums of the symbols (``_s``), the pairs (``_p``) and the right margin (``_y``).
+def _pair_stages(symbol: str, window: int) -> tuple[int, list[dict[str, Framed]], list[str]]:
+    """The reach, the stages and the helper columns of the sums of symbols (``_s``) and pairs (``_p``).
+
+    ``_heads`` counts the session's first symbol; it is read as long as that is in the window.
+    """
+    back, stages, helpers = _sum_stages(window, {"_s": symbol, "_p": "_pair"}, before=_pair_stage(symbol))
+    heads = ({"_head": lambda w: F.first(symbol).over(w.rowsBetween(1 - window, 0))},
+             {"_is_head": lambda w: (F.col("_head") == F.col(symbol)).cast("int")},
+             {"_heads": lambda w: F.sum("_is_head").over(w.rowsBetween(1 - window, 0))})
+    return back, _side_by_side(stages, heads), [*helpers, "_head", "_is_head"]
+
+
+def _side_by_side(stages: Sequence[dict[str, Framed]], others: Sequence[dict[str, Framed]]) -> list[dict[str, Framed]]:
+    """Both lists of stages as one, so that they share a frame."""
+    return [a | b for a, b in zip_longest(stages, others, fillvalue={})]
+
+
+def _right_margin(ev: Ordered, window: int) -> Column:
+    """The sum of the right symbols of the pairs of a window.
 
     The left margin of the pairs ending at a row is the symbol window of the row
     before. The right margin is the row's own symbol window, less the session's
     first symbol as long as that is still in the window, since it ends no pair.
     """
-    summed = window_sums(ev, window, {"_s": symbol, "_p": "_pair"}, before=_pair_stage(symbol))
-    first = summed.frame(
-        window - 1, 0,
-        {"_head": lambda w: F.first(symbol).over(w.rowsBetween(1 - window, 0))},
-        {"_is_head": lambda w: (F.col("_head") == F.col(symbol)).cast("int")},
-        {"_heads": lambda w: F.sum("_is_head").over(w.rowsBetween(1 - window, 0))})
-    right = F.col("_s") - F.when(F.col(ev.order) <= window, it.entropy_gain(F.col("_heads"))).otherwise(0)
-    return first.on(first.df.withColumn("_y", right).drop("_head", "_is_head", "_heads"))
+    return F.col("_s") - F.when(F.col(ev.order) <= window, it.entropy_gain(F.col("_heads"))).otherwise(0)
 
 
 def _pair_information(ev: Ordered, window: int) -> Column:
     n = F.least(F.col(ev.order) - 1, F.lit(window))
     return it.stored(it.information_of_sums(
-        F.col("_s") - F.col("_s_step"), F.col("_y"), F.col("_p"), n))
+        F.col("_s") - F.col("_s_step"), _right_margin(ev, window), F.col("_p"), n))
 
 
 def sliding_mi(ev: Ordered, symbol: str = "symbol", window: int = WINDOW, out: str = "mi") -> Ordered:
     """Mutual information of the last ``window`` adjacent pairs."""
-    paired = _with_pairs(ev, symbol, window)
+    back, stages, helpers = _pair_stages(symbol, window)
+    paired = ev.frame(back, 0, *stages)
     return paired.on(paired.df.withColumn(out, _pair_information(ev, window)).drop(
-        "_s", "_s_step", "_p", "_p_step", "_y", "_pair"))
+        *helpers, "_s", "_s_step", "_p", "_p_step", "_heads", "_pair"))
 
 
 def sliding_compression(ev: Ordered, symbol: str = "symbol", window: int = LZ_WINDOW,
@@ -123,22 +150,39 @@ def baseline_kl(ev: Ordered, symbol: str = "symbol", window: int = WINDOW,
     sum((c + 1) log2 (c + 1)), a windowed sum of log2(b + 1) over the current
     symbols, and a constant of the session.
     """
+    framed = _vocabulary(ev, symbol, baseline)
+    back, stages, helpers = _kl_stages(window)
+    framed = framed.frame(back, 0, *stages)
+    return framed.on(framed.df.withColumn(out, _kl_value(ev, window, baseline)).drop(*helpers, *_KL_COLUMNS))
+
+
+_KL_COLUMNS = ("_k", "_b", "_at", "_late", "_log_b", "_const", "_t", "_t_step", "_u")
+
+
+def _vocabulary(ev: Ordered, symbol: str, baseline: int) -> Ordered:
+    """The vocabulary so far (``_k``) and what the baseline says about each symbol and the session."""
     step = F.col(ev.order)
-    late = F.when(step > baseline, F.col(symbol))
-    counted = ev.distinct_so_far(symbol, "_k").per_value(
-        symbol, _b=F.count(F.when(F.col(ev.order) <= baseline, 1)), _at=F.min(ev.order))
+    counted = ev.per_value(symbol, _b=F.count(F.when(step <= baseline, 1)), _at=F.min(ev.order))
     log_b = F.log2(F.coalesce("_b", F.lit(0)) + 1.0)
-    based = counted.with_columns(_late=late, _log_b=log_b).running(
-        _const=("sum", F.when((F.col("_at") == step) & (F.col("_b") > 0), F.col("_log_b"))))
-    framed = window_sums(based, window, {"_t": "_late"}, it.smoothed_gain).frame(window - 1, 0, {
-        "_u": lambda w: F.coalesce(F.sum(F.when(F.col("_late").isNotNull(), F.col("_log_b"))).over(
-            w.rowsBetween(1 - window, 0)), F.lit(0.0))})
+    new = F.col("_at") == step
+    return counted.with_columns(_late=F.when(step > baseline, F.col(symbol)), _log_b=log_b).running(
+        _k=("count", F.when(F.col(symbol).isNotNull() & new, 1)),
+        _const=("sum", F.when(new & (F.col("_b") > 0), F.col("_log_b"))))
+
+
+def _kl_stages(window: int) -> tuple[int, list[dict[str, Framed]], list[str]]:
+    back, stages, helpers = _sum_stages(window, {"_t": "_late"}, it.smoothed_gain)
+    recent = {"_u": lambda w: F.coalesce(F.sum(F.when(F.col("_late").isNotNull(), F.col("_log_b"))).over(
+        w.rowsBetween(1 - window, 0)), F.lit(0.0))}
+    return back, _side_by_side(stages, [recent]), helpers
+
+
+def _kl_value(ev: Ordered, window: int, baseline: int) -> Column:
+    step = F.col(ev.order)
     n = F.least(step - baseline, F.lit(window)) + F.col("_k")
     kl = ((F.col("_t") / it.SCALE - F.col("_u") - F.col("_const")) / n
           + F.log2((F.col("_k") + baseline) / n))
-    value = F.when(step > baseline, it.stored(F.greatest(kl, F.lit(0.0)))).otherwise(0.0)
-    return framed.on(framed.df.withColumn(out, value).drop(
-        "_k", "_b", "_at", "_late", "_log_b", "_const", "_t", "_t_step", "_u"))
+    return F.when(step > baseline, it.stored(F.greatest(kl, F.lit(0.0)))).otherwise(0.0)
 
 
 def carried_entropy(ev: Ordered, keep: Column, out: str, symbol: str = "symbol",
@@ -159,15 +203,21 @@ def carried_entropy(ev: Ordered, keep: Column, out: str, symbol: str = "symbol",
 
 def step_metrics(ev: Ordered, symbol: str = "symbol", compression: bool = True,
                  baseline: int = BASELINE) -> Ordered:
-    """Entropy, pair information, surprisal, KL and compression of the action stream."""
-    paired = _with_pairs(ev, symbol, WINDOW)
+    """Entropy, pair information, surprisal, KL and compression of the action stream.
+
+    All but compression share the vocabulary so far and one frame; a symbol's count in
+    the window serves both its entropy and its surprisal.
+    """
+    back, pairs, pair_helpers = _pair_stages(symbol, WINDOW)
+    reach, late, kl_helpers = _kl_stages(WINDOW)
+    framed = _vocabulary(ev, symbol, baseline).frame(max(back, reach), 0, *_side_by_side(pairs, late))
     n = F.least(F.col(ev.order), F.lit(WINDOW))
-    both = paired.on(paired.df.withColumns({
+    out = framed.on(framed.df.withColumns({
         "action_entropy": it.stored(it.entropy_of_sum(F.col("_s"), n)),
         "action_mi": _pair_information(ev, WINDOW),
-    }).drop("_s", "_s_step", "_p", "_p_step", "_y", "_pair"))
-    out = baseline_kl(surprisal(both, symbol, out="last_surprisal"), symbol,
-                      baseline=baseline, out="kl_divergence")
+        "last_surprisal": it.stored(-F.log2(F.col("_in__s") / (n + F.col("_k")))),
+        "kl_divergence": _kl_value(ev, WINDOW, baseline),
+    }).drop(*pair_helpers, *kl_helpers, *_KL_COLUMNS, "_s", "_s_step", "_p", "_p_step", "_heads", "_pair"))
     return sliding_compression(out, symbol, out="compression_ratio") if compression else out
 
 

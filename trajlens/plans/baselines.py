@@ -123,13 +123,19 @@ an AS (""" + " UNION ALL ".join(f"""SELECT session_id, step, '{m}' AS metric, {m
 
 
 def measured(spark, sf_dir):
-    return metrics.step_metrics(bind.long_events(spark, sf_dir).select("symbol"), compression=False)
+    # Numbered once: the measures and their baselines read the steps several times.
+    return metrics.step_metrics(bind.long_events(spark, sf_dir).select("symbol").kept(), compression=False)
 
 
 def scored(spark, sf_dir):
     return bl.calibrated(measured(spark, sf_dir), METRICS)
 
 
+def signatures(scored):
+    return scored.df.withColumn("signature", bl.signature(METRICS)).where(F.col("signature").isNotNull()).select(
+        "session_id", "step", "signature")
+
+
 @query("metric_anomalies", f"{MET} SELECT session_id, step, metric, value, z_score, direction FROM an")
 def metric_anomalies(spark, sf_dir):
     return bl.anomalies(scored(spark, sf_dir), METRICS)
@@ -144,9 +150,7 @@ sig AS (SELECT session_id, step, CASE WHEN h = 'low' AND mi = 'low' THEN 'mechan
 
 
 def signed(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return s.df.withColumn("signature", bl.signature(METRICS)).where(F.col("signature").isNotNull()).select(
-        "session_id", "step", "signature")
+    return signatures(scored(spark, sf_dir))
 
 
 @query("anomaly_signatures", f"{SIG} SELECT * FROM sig")
@@ -205,4 +209,4 @@ o AS (SELECT a.session_id, {', '.join(f"sum(b.s_{m}) / sum(b.n_{m}) AS mean_{m},
 SELECT session_id, min(step) AS first_step FROM met JOIN o USING (session_id) WHERE
   {' + '.join(f"CASE WHEN std_{m} > 1e-9 AND abs(({m} - mean_{m}) / std_{m}) >= 2 THEN 1 ELSE 0 END" for m in METRICS)} >= 2 GROUP BY session_id""")
 def leave_one_out_fire(spark, sf_dir):
-    return bl.leave_one_out(measured(spark, sf_dir), METRICS)
+    return bl.leave_one_out(measured(spark, sf_dir).kept(), METRICS)

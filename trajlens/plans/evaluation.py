@@ -240,7 +240,7 @@ def sweep(spark, sf_dir):
     for name in METRICS:
         v = F.when(first, F.col(name))
         stats[f"_m_{name}"], stats[f"_s_{name}"] = F.avg(v), F.stddev_samp(v)
-    based = m.totals(**stats)
+    based = m.totals(upto=100, **stats)
     zs = []
     for name in METRICS:
         gap, std = F.abs(F.col(name) - F.col(f"_m_{name}")), F.col(f"_s_{name}")

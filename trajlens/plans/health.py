@@ -12,7 +12,7 @@ from trajlens.operators import detectors as dt
 from trajlens.operators import health as he
 from trajlens.operators import metrics as me
 from trajlens.operators import phases as ph
-from trajlens.plans.baselines import DIST, MET, METRICS, SIG, SPLIT, measured, signed, split_shares
+from trajlens.plans.baselines import DIST, MET, METRICS, SIG, SPLIT, measured, signatures, signed, split_shares
 from trajlens.plans.functions import OB, observable
 from trajlens.plans.phases import NAME, phased, segment_table
 from trajlens.operators import stats as st
@@ -238,8 +238,8 @@ def auto_against_manual(spark, sf_dir):
 @query("baseline_comparison")
 def baseline_comparison(spark, sf_dir):
     """First firing of the self, corpus and change-point baselines: share of sessions and median step."""
-    m = measured(spark, sf_dir)
-    fires = {"self": signed(spark, sf_dir).groupBy("session_id").agg(F.min("step").alias("first_step")),
+    m = measured(spark, sf_dir).kept()
+    fires = {"self": signatures(bl.calibrated(m, METRICS)).groupBy("session_id").agg(F.min("step").alias("first_step")),
              "corpus": bl.leave_one_out(m, METRICS), "change_point": bl.change_points(m, ("action_entropy", "action_mi"))}
     total = m.df.select("session_id").distinct().count()
     out = None
