@@ -48,6 +48,7 @@ def match(events: list[tuple[int, str, int]], queue: list[tuple[int, str, int]],
 def pair_streams(ev: Ordered, agent: str = "agent_id", symbol: str = "symbol") -> Ordered:
     """Each pair of a session's agents with the actions of both, numbered: ``agent_a, agent_b, side, symbol, step, place``."""
     keys = list(ev.keys)
+    ev = ev.select(agent, symbol).kept()
     actions = ev.df.select(*keys, F.col(agent).alias("_agent"), F.col(symbol).cast("string").alias("symbol"), F.col(ev.order).cast("long").alias("step"))
     agents = actions.where("_agent IS NOT NULL").select(*keys, F.col("_agent").alias("_other")).distinct()
     both = actions.join(agents, keys).where(F.col("_agent") != F.col("_other")).select(
@@ -118,7 +119,8 @@ def matched_pairs(ev: Ordered, gap: int = 10, pending: int = 50, agent: str = "a
         again = rows.join(changed.select(*by), by, "left_semi").unionByName(begin(changed))
         ended = again.groupBy(*by).applyInArrow(left, f"{of_keys}, _chunk long, queue {_QUEUE}")
         ends = durable(ends.join(changed.select(*by), by, "left_anti").unionByName(ended))
-    return rows.unionByName(begin(known)).groupBy(*by).applyInArrow(pairs, pair_ddl)
+    # Written out: numbering the pairs reads them several times, and should not match them again.
+    return durable(rows.unionByName(begin(known)).groupBy(*by).applyInArrow(pairs, pair_ddl))
 
 
 def shared_information(pairs: DataFrame, keys: list[str], window: int = 100, chunk_rows: int | None = None) -> Ordered:
