@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import ROOT, difference, duck
+from trajlens.operators import matching as ma
 from trajlens.operators import metrics
 from trajlens.plans import ORACLES, QUERIES
-from trajlens.sequence import CHUNK_SETTING, Ordered
+from trajlens.sequence import CHUNK_SETTING, Ordered, number_rows
 
 SF = f"{ROOT}/sf0.001"
 
@@ -44,10 +45,22 @@ def test_step_metrics_of_split_sessions(spark):
     assert sorted(parts.df.select(columns).collect()) == sorted(whole.df.select(columns).collect())
 
 
-@pytest.mark.parametrize("name", ["metric_anomalies", "best_threshold"])
+@pytest.mark.parametrize("name", ["metric_anomalies", "best_threshold", "information_edges"])
 def test_same_rows_as_sql_when_split(split, name):
     assert difference(QUERIES[name](split, SF), duck(SF), ORACLES[name]) is None
 
 
 def test_long_sessions_are_measured_once_per_query(split):
     assert leaves(QUERIES["metric_anomalies"](split, SF)) <= 6
+
+
+def test_short_sessions_are_dealt_to_more_tasks(spark):
+    df = spark.range(4000).select((F.col("id") % 500).alias("session_id"), "id")
+    assert number_rows(df, ["session_id"], ["id"], chunk_rows=100).df.rdd.getNumPartitions() >= 40
+
+
+def test_pairs_are_matched_once(split):
+    rows = [("s", i % 2, f"x{i % 3}", i + 1) for i in range(120)]
+    ev = Ordered.of(split.createDataFrame(rows, "session_id string, agent_id long, symbol string, step long"))
+    plan = ma.matched_pairs(ev)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
