@@ -7,7 +7,10 @@ from tests.compare import ROOT, difference, duck
 from trajlens.operators import matching as ma
 from trajlens.operators import metrics
 from trajlens.plans import ORACLES, QUERIES
+from trajlens.plans.baselines import METRICS, measured
+from trajlens.plans.evaluation import sweep
 from trajlens.sequence import CHUNK_SETTING, Ordered, number_rows
+from trajlens.sources import bind
 
 SF = f"{ROOT}/sf0.001"
 
@@ -64,3 +67,43 @@ def test_pairs_are_matched_once(split):
     ev = Ordered.of(split.createDataFrame(rows, "session_id string, agent_id long, symbol string, step long"))
     plan = ma.matched_pairs(ev)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroups" not in plan
+
+
+def test_long_events_are_numbered_once_and_narrow(split, monkeypatch):
+    """Queries that read the steps twice number them once and carry only the columns they use."""
+    seen = []
+
+    def recorded(df, *args, **kwargs):
+        seen.append(df.columns)
+        return number_rows(df, *args, **kwargs)
+
+    monkeypatch.setattr(bind, "number_rows", recorded)
+    for name, columns in (("lead_lag", {"symbol"}), ("mark_confusion", {"symbol", "event_type"})):
+        seen.clear()
+        assert difference(QUERIES[name](split, SF), duck(SF), ORACLES[name]) is None
+        assert [set(c) for c in seen] == [{"session_id", "ts", "event_id"} | columns]
+
+
+def test_calibration_is_measured_on_the_first_steps(split):
+    """Where sessions are split, their first steps are measured apart and have the values of the whole."""
+    ev = stream(split, 500)
+    columns = ["session_id", "step", *METRICS]
+    early = metrics.step_metrics(ev.first(metrics.BASELINE), compression=False).df.select(columns)
+    whole = metrics.step_metrics(ev, compression=False)
+    first = sorted(early.collect())
+    assert len(first) == 2 * metrics.BASELINE
+    assert first == sorted(whole.df.where(F.col("step") <= metrics.BASELINE).select(columns).collect())
+    m = measured(split, SF)
+    assert m.early is not None and m.with_columns(x=F.lit(1)).early is None
+
+
+@pytest.mark.parametrize("measure", [metrics.sliding_mi, metrics.baseline_kl, lambda ev: metrics.step_metrics(ev, compression=False)])
+def test_sums_over_a_window_change_by_one_term(spark, measure):
+    """No frame of rows is summed anew for each row."""
+    plan = measure(Ordered.of(stream(spark, 300).df, chunk_rows=10_000)).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "RowFrame, -49" not in plan
+
+
+def test_level_of_a_step_is_one_expression_of_its_scores(spark):
+    """The scores of a step are sorted once, not once for each threshold."""
+    assert sweep(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1

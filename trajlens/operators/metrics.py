@@ -38,21 +38,22 @@ def window_sums(ev: Ordered, window: int, sums: dict[str, str], gain=it.entropy_
     return framed.on(framed.df.drop(*helpers))
 
 
-def _sum_stages(window: int, sums: dict[str, str], gain=it.entropy_gain,
-                before: dict[str, Framed] | None = None) -> tuple[int, list[dict[str, Framed]], list[str]]:
-    """The reach, the stages and the helper columns of ``window_sums``.
+def _sum_stages(window: int, sums: dict[str, str], gain=it.entropy_gain, before: dict[str, Framed] | None = None,
+                only: Column | None = None) -> tuple[int, list[dict[str, Framed]], list[str]]:
+    """The reach, the stages and the helper columns of ``window_sums``; with ``only``, of the rows that fulfil it.
 
     Gains of a symbol's counts add up to a function of its count, so changes summed
     from any row that lies before the window give the sum of the window itself: the
     rows a frame copies suffice, and nothing is carried over from earlier ones.
     """
-    one = F.lit(1)
+    one = F.lit(1) if only is None else F.when(only, 1)
     counts, changes, running = {}, {}, {}
     for out, symbol in sums.items():
         counts[f"_in_{out}"] = ((symbol,), lambda w: F.count(one).over(w.rangeBetween(1 - window, 0)))
         counts[f"_out_{out}"] = ((symbol,), lambda w: F.count(one).over(w.rangeBetween(0, window - 1)))
-    terms = {f"_gain_{out}": _nth_gain(F.col(f"_in_{out}"), F.col(symbol), gain) for out, symbol in sums.items()}
-    losses = {f"_loss_{out}": _nth_gain(F.col(f"_out_{out}"), F.col(symbol), gain) for out, symbol in sums.items()}
+    counted = {out: F.col(symbol) if only is None else F.when(only, F.col(symbol)) for out, symbol in sums.items()}
+    terms = {f"_gain_{out}": _nth_gain(F.col(f"_in_{out}"), symbol, gain) for out, symbol in counted.items()}
+    losses = {f"_loss_{out}": _nth_gain(F.col(f"_out_{out}"), symbol, gain) for out, symbol in counted.items()}
     stages = [before] if before else []
     stages.append(counts)
     stages.append({n: (lambda w, c=c: c) for n, c in (terms | losses).items()})
@@ -83,12 +84,13 @@ def _pair_stage(symbol: str) -> dict[str, Framed]:
 def _pair_stages(symbol: str, window: int) -> tuple[int, list[dict[str, Framed]], list[str]]:
     """The reach, the stages and the helper columns of the sums of symbols (``_s``) and pairs (``_p``).
 
-    ``_heads`` counts the session's first symbol; it is read as long as that is in the window.
+    ``_heads`` counts the session's first symbol; it is read as long as that is in the window,
+    so it counts from the start and needs no frame of the window's width.
     """
     back, stages, helpers = _sum_stages(window, {"_s": symbol, "_p": "_pair"}, before=_pair_stage(symbol))
-    heads = ({"_head": lambda w: F.first(symbol).over(w.rowsBetween(1 - window, 0))},
+    heads = ({"_head": lambda w: F.first(symbol).over(w.rowsBetween(Window.unboundedPreceding, 0))},
              {"_is_head": lambda w: (F.col("_head") == F.col(symbol)).cast("int")},
-             {"_heads": lambda w: F.sum("_is_head").over(w.rowsBetween(1 - window, 0))})
+             {"_heads": lambda w: F.sum("_is_head").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     return back, _side_by_side(stages, heads), [*helpers, "_head", "_is_head"]
 
 
@@ -151,12 +153,12 @@ def baseline_kl(ev: Ordered, symbol: str = "symbol", window: int = WINDOW,
     symbols, and a constant of the session.
     """
     framed = _vocabulary(ev, symbol, baseline)
-    back, stages, helpers = _kl_stages(window)
+    back, stages, helpers = _kl_stages(ev, symbol, window, baseline)
     framed = framed.frame(back, 0, *stages)
     return framed.on(framed.df.withColumn(out, _kl_value(ev, window, baseline)).drop(*helpers, *_KL_COLUMNS))
 
 
-_KL_COLUMNS = ("_k", "_b", "_at", "_late", "_log_b", "_const", "_t", "_t_step", "_u")
+_KL_COLUMNS = ("_k", "_b", "_at", "_log_b", "_const", "_t", "_t_step", "_u", "_u_step")
 
 
 def _vocabulary(ev: Ordered, symbol: str, baseline: int) -> Ordered:
@@ -165,22 +167,30 @@ def _vocabulary(ev: Ordered, symbol: str, baseline: int) -> Ordered:
     counted = ev.per_value(symbol, _b=F.count(F.when(step <= baseline, 1)), _at=F.min(ev.order))
     log_b = F.log2(F.coalesce("_b", F.lit(0)) + 1.0)
     new = F.col("_at") == step
-    return counted.with_columns(_late=F.when(step > baseline, F.col(symbol)), _log_b=log_b).running(
+    return counted.with_columns(_log_b=log_b).running(
         _k=("count", F.when(F.col(symbol).isNotNull() & new, 1)),
         _const=("sum", F.when(new & (F.col("_b") > 0), F.col("_log_b"))))
 
 
-def _kl_stages(window: int) -> tuple[int, list[dict[str, Framed]], list[str]]:
-    back, stages, helpers = _sum_stages(window, {"_t": "_late"}, it.smoothed_gain)
-    recent = {"_u": lambda w: F.coalesce(F.sum(F.when(F.col("_late").isNotNull(), F.col("_log_b"))).over(
-        w.rowsBetween(1 - window, 0)), F.lit(0.0))}
-    return back, _side_by_side(stages, [recent]), helpers
+def _kl_stages(ev: Ordered, symbol: str, window: int, baseline: int) -> tuple[int, list[dict[str, Framed]], list[str]]:
+    """The reach, the stages and the helper columns of both windowed sums of the symbols after calibration.
+
+    A symbol's count after calibration shares the window of its count, and the sum
+    of logarithms changes by one term in and one out, in fixed point.
+    """
+    late = F.col(ev.order) > baseline
+    back, stages, helpers = _sum_stages(window, {"_t": symbol}, it.smoothed_gain, only=late)
+    log_b = F.when(late & F.col(symbol).isNotNull(), F.round(F.col("_log_b") * it.SCALE).cast("long")).otherwise(F.lit(0).cast("long"))
+    recent = ({"_lb": lambda w: log_b},
+              {"_u_step": lambda w: F.col("_lb") - F.coalesce(F.lag("_lb", window).over(w), F.lit(0))},
+              {"_u": lambda w: F.sum("_u_step").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return back, _side_by_side(stages, recent), [*helpers, "_lb"]
 
 
 def _kl_value(ev: Ordered, window: int, baseline: int) -> Column:
     step = F.col(ev.order)
     n = F.least(step - baseline, F.lit(window)) + F.col("_k")
-    kl = ((F.col("_t") / it.SCALE - F.col("_u") - F.col("_const")) / n
+    kl = (((F.col("_t") - F.col("_u")) / it.SCALE - F.col("_const")) / n
           + F.log2((F.col("_k") + baseline) / n))
     return F.when(step > baseline, it.stored(F.greatest(kl, F.lit(0.0)))).otherwise(0.0)
 
@@ -209,7 +219,7 @@ def step_metrics(ev: Ordered, symbol: str = "symbol", compression: bool = True,
     the window serves both its entropy and its surprisal.
     """
     back, pairs, pair_helpers = _pair_stages(symbol, WINDOW)
-    reach, late, kl_helpers = _kl_stages(WINDOW)
+    reach, late, kl_helpers = _kl_stages(ev, symbol, WINDOW, baseline)
     framed = _vocabulary(ev, symbol, baseline).frame(max(back, reach), 0, *_side_by_side(pairs, late))
     n = F.least(F.col(ev.order), F.lit(WINDOW))
     out = framed.on(framed.df.withColumns({

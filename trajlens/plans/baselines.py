@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from trajlens.functions.events import phase_name
@@ -122,13 +124,23 @@ an AS (""" + " UNION ALL ".join(f"""SELECT session_id, step, '{m}' AS metric, {m
    FROM met JOIN st USING (session_id)) WHERE step > 100 AND z > 2.0""" for m in METRICS) + ")"
 
 
-def measured(spark, sf_dir):
-    # Numbered once: the measures and their baselines read the steps several times.
-    return metrics.step_metrics(bind.long_events(spark, sf_dir).select("symbol").kept(), compression=False)
+def numbered(spark, sf_dir, *more):
+    """The steps with their symbol and ``more`` columns, numbered once: measures and baselines read them several times."""
+    return bind.long_events(spark, sf_dir, columns=("symbol", *more)).kept()
+
+
+def measured(spark, sf_dir, ev=None):
+    """The step metrics of ``ev``, by default of all steps.
+
+    They look back only, so those of the calibration come from the first steps alone.
+    """
+    ev = (numbered(spark, sf_dir) if ev is None else ev).select("symbol")
+    whole = metrics.step_metrics(ev, compression=False)
+    return replace(whole, early=metrics.step_metrics(ev.first(metrics.BASELINE), compression=False).df) if ev.split else whole
 
 
-def scored(spark, sf_dir):
-    return bl.calibrated(measured(spark, sf_dir), METRICS)
+def scored(spark, sf_dir, ev=None):
+    return bl.calibrated(measured(spark, sf_dir, ev), METRICS)
 
 
 def signatures(scored):
@@ -149,8 +161,8 @@ sig AS (SELECT session_id, step, CASE WHEN h = 'low' AND mi = 'low' THEN 'mechan
    WHEN kd = 'high' AND h = 'low' THEN 'distributional_anomaly' ELSE 'unclassified_anomaly' END AS signature FROM wide)"""
 
 
-def signed(spark, sf_dir):
-    return signatures(scored(spark, sf_dir))
+def signed(spark, sf_dir, ev=None):
+    return signatures(scored(spark, sf_dir, ev))
 
 
 @query("anomaly_signatures", f"{SIG} SELECT * FROM sig")
