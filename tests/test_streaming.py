@@ -59,3 +59,23 @@ def test_events_of_two_sources_leave_in_order(spark, tmp_path):
             want[r[2]] = (session, step, r[3])
     assert {r.event_id: (r.session_id, r.step, r.symbol) for r in out} == want and len(out) == len(rows)
     assert [r[2] for r in by_time] != [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
+
+
+def test_sessions_that_share_a_bucket_keep_their_own_steps(spark, tmp_path):
+    """Two state keys hold forty sessions; nulls in other columns stay."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    big = 2 ** 40 + 1
+    rows = [(f"s{k % 40}", 86400 + (k * 7919 % 500) * 60, k, None if k % 3 else big + k) for k in range(400)]
+    schema = "session_id string, at long, event_id long, size long"
+    table = lambda some: spark.createDataFrame(some, schema).select("session_id", F.timestamp_seconds("at").alias("ts"), "event_id", "size")
+    try:
+        for part in (rows[:200], rows[200:], [("end", 10 ** 7, -1, None)]):
+            table(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = run.to_table(in_order(run.read_parts(spark, f"{tmp_path}/in", 1), delay="10 hours", buckets=2)).where("session_id <> 'end'").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = set()
+    for session in {r[0] for r in rows}:
+        for step, r in enumerate(sorted((r for r in rows if r[0] == session), key=lambda r: (r[1], r[2])), 1):
+            want.add((session, r[2], r[3], step))
+    assert {(r.session_id, r.event_id, r.size, r.step) for r in out} == want and len(out) == len(rows)

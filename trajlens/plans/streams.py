@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from trajlens.plans.registry import query
@@ -56,7 +58,8 @@ def stream_in_order(spark, sf_dir):
     """Two sources whose events arrive up to six days late; a row of no session ends the stream.
 
     Events leave a source by a time that lies a few days behind their own, so
-    every micro-batch holds rows that belong before rows of the last ones.
+    every micro-batch holds rows that belong before rows of the last ones. The table is
+    dealt into the four parts of its time in one pass; a part is then sent as one file a source.
     """
     folder = run.shared_folder(spark)
     events = bind.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
@@ -65,11 +68,14 @@ def stream_in_order(spark, sf_dir):
     first, last = whole.agg(F.min("sent"), F.max("sent")).first()
     end = spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.timestamp_micros(F.lit(int((last + 30) * 86400e6))).alias("ts"),
                                 F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("event_type"))
-    for part in range(4):
-        low, high = first + (last - first) * part / 4, first + (last - first) * (part + 1) / 4
-        inside = (F.col("sent") >= low) & ((F.col("sent") < high) if part < 3 else F.lit(True))
+    part = reduce(lambda a, b: a + b, [(F.col("sent") >= first + (last - first) * i / 4).cast("int") for i in (1, 2, 3)])
+    dealt = whole.where(F.col("sent").isNotNull() & F.col("event_id").isNotNull()).select(
+        *events.columns, part.alias("part"), F.pmod(F.col("event_id"), F.lit(2)).alias("source"))
+    dealt.write.partitionBy("part", "source").parquet(f"{folder}/dealt")
+    parts = spark.read.schema(dealt.schema).parquet(f"{folder}/dealt")
+    for i in range(4):
         for source, even in (("a", 0), ("b", 1)):
-            rows = whole.where(inside & (F.pmod(F.col("event_id"), F.lit(2)) == even)).drop("sent")
+            rows = parts.where((F.col("part") == i) & (F.col("source") == even)).select(*events.columns)
             rows.coalesce(1).write.mode("append").parquet(f"{folder}/{source}")
     end.write.mode("append").parquet(f"{folder}/a")
     streams = [run.read_parts(spark, f"{folder}/{s}", 1) for s in ("a", "b")]
