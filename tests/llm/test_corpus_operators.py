@@ -16,6 +16,7 @@ from tests.llm.helpers import DOCS, SF, base_spans, least_edits, near_components
 from trajlens.llm import common, decontam, neardup, pii, quality, search, toxicity, warc
 from trajlens.llm.queries import ORACLES, QUERIES
 from trajlens.llm.shingles import MinHash, shingle_set
+from trajlens.session import durable
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -377,3 +378,21 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     for r in pieces:
         whole[r.doc_id] = whole.get(r.doc_id, 0) + r.length
     assert whole == {r.doc_id: r.doc_tokens for r in pieces} and set(whole) == set(texts[4])
+
+
+def test_postings_are_dealt_once_by_token_and_once_by_node(spark, monkeypatch):
+    """Counts, weights and leaders of the posting lists come from windows: each dealing is one shuffle of the postings."""
+    plans = []
+
+    def recorded(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return durable(df)
+
+    monkeypatch.setattr(neardup, "durable", recorded)
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(words[k % 7:] + ["x"] * (k % 3))) for k in range(30)], "doc_id long, text string")
+    assert len(neardup.near_duplicates(docs).collect()) == 30
+    lists = next(plan for columns, plan in plans if "df" in columns)
+    assert lists.count("Exchange hashpartitioning(token") == lists.count("Exchange hashpartitioning(node") == 1
+    stars = next(plan for columns, plan in plans if columns == ["a", "b"])
+    assert stars.count("Join") == 0

@@ -251,22 +251,21 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     nodes = durable(rows.where(own).groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("signature").alias("signature"))
                     .withColumn("node", F.monotonically_increasing_id()))
 
-    posted = _postings(nodes)
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = durable(posted.join(shared, "token"))
+    # Windows deal the postings out once by token and once by node; aggregates joined back would do so twice each.
+    by_token, by_node = Window.partitionBy("token"), Window.partitionBy("node")
+    shared = _postings(nodes).withColumn("df", F.count(F.lit(1)).over(by_token)).where("df > 1")
+    lists = durable(shared.withColumns({"weight": F.sum(F.log("df")).over(by_node), "listed": F.count(F.lit(1)).over(by_node)}))
 
     # Stars: the leader of a list is the node whose values are the most common.
-    weight = lists.groupBy("node").agg(F.sum(F.log("df")).alias("weight"), F.count(F.lit(1)).alias("listed"))
-    lists_by_weight = lists.select("token", "node").join(weight.select("node", "weight"), "node")
-    leaders = lists_by_weight.groupBy("token").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"))).alias("lead"))
-    stars = (lists.select("token", "node").join(leaders.select("token", (-F.col("lead.order")).alias("leader")), "token")
+    lead = F.max(F.struct("weight", (-F.col("node")).alias("order"))).over(by_token)
+    stars = (lists.select("token", "node", "weight").withColumn("leader", -lead["order"])
              .where(F.col("node") != F.col("leader")).groupBy("leader", "node").agg(F.count(F.lit(1)).alias("common"))
              .where(F.col("common") >= MATCHES).select(F.col("leader").alias("a"), F.col("node").alias("b")))
     stars = durable(stars)
 
     # The rarest coordinates: those on no list come first, so a node with enough of them has no prefix at all.
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token")) + SIZE - F.col("listed")
-    prefix = durable(lists.join(weight.where(F.col("listed") >= MATCHES).select("node", "listed"), "node").withColumn("rank", rank)
+    prefix = durable(lists.where(F.col("listed") >= MATCHES).withColumn("rank", rank)
                      .where(F.col("rank") <= SIZE - MATCHES + 1).select("token", "node"))
 
     # The texts of nodes that can be in a pair at all, once.
@@ -289,7 +288,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         texts = durable(texts.dropDuplicates(["node"]))
 
     links = [_confirmed(stars, texts)]
-    component = durable(components(links[0]))
+    component = components(links[0])
     sized = durable(_labelled(nodes.select("node", "n").join(active, "node"), component))
     prefix = prefix.join(sized, "node")
     lengths = prefix.select("token", "component").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
