@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -32,6 +33,65 @@ def test_ids_and_counts_equal_the_tokenizers():
     assert wordpieces.byte_counts(BYTE, texts) == want
 
 
+@pytest.mark.parametrize("size,run,memo", [(1, 1, 1), (5, 40, 50), (64, 1000, 300)])
+def test_ids_do_not_depend_on_where_texts_are_cut_or_on_the_memo(monkeypatch, size, run, memo):
+    rnd = random.Random(8)
+    letters = list(" ''\n1stmdrevl.,aAéß中🙂²\x85") + ["'ll", "'re", "''"]
+    texts = [*ODD[:-1], *("".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(400)), "x" * 3000 + " y", "   ", ""]
+    monkeypatch.setattr(wordpieces, "SLICE", size)
+    monkeypatch.setattr(wordpieces, "RUN", run)
+    monkeypatch.setattr(wordpieces, "MEMO_WORDS", memo)
+    want = [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in wordpieces.word_ids(WORD, texts)] == want
+    assert wordpieces.word_ids(WORD, []) == []
+
+
+def test_a_full_memo_keeps_the_words_that_go_on_occurring(monkeypatch):
+    learnt, learn = defaultdict(int), wordpieces._learn_ids
+
+    def counted(memory, new):
+        for part in new:
+            learnt[part] += 1
+        return learn(memory, new)
+
+    for name in ("MEMO_PARTS", "MEMO_WORDS"):
+        monkeypatch.setattr(wordpieces, name, 2000, raising=False)
+    monkeypatch.setattr(wordpieces, "_learn_ids", counted)
+    word = lambda n: "q" + "".join(chr(97 + n // 26 ** k % 26) for k in range(4))
+    often = [word(n) for n in range(300)]
+    for at in range(20):
+        wordpieces.word_ids(WORD, [" ".join(often + [word(1000 + 500 * at + n) for n in range(500)])])
+    assert sum(learnt[w] for w in often) <= len(often) < len(learnt)
+
+
+def test_known_words_cost_less_than_a_pattern_and_a_look_up_each():
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=500)) + "." for _ in range(1000)]
+    pattern, memo = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+"), dict.fromkeys([*words, "."], b"1234")
+
+    def seconds(f):
+        f()
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    plain = seconds(lambda: [b"".join(map(memo.__getitem__, pattern.findall(t.lower()))) for t in texts])
+    assert seconds(lambda: wordpieces.word_ids(WORD, texts)) < 0.9 * plain
+
+
+def test_runs_of_texts_are_cut_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(wordpieces, "RUN", 10)
+    texts = ["", None, "abc", "é" * 30, None, "x" * 9, "y", "", "z" * 11, ""]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    runs = [r.column(1).to_pylist() for r in wordpieces.runs_of(batch, 1)]
+    assert sum(runs, []) == texts and all(runs) and len(runs) > 3
+    assert list(wordpieces.runs_of(batch.slice(0, 0), 1)) == []
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_sequences_keep_every_limit_and_every_id_once(cut):
     rnd = random.Random(2)

@@ -30,11 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlens.llm.wordpieces import word_ids
+from trajlens.llm.wordpieces import runs_of, word_ids
 from trajlens.session import durable
 
-#: Texts encoded at a time.
-TEXTS = 256
 #: Runs that one task sweeps, about.
 SWEEP_ROWS = 200_000
 #: Rules that are sent to all tasks; with more, Spark joins them.
@@ -147,8 +145,8 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Data
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, places = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some, rows = batch.slice(at, TEXTS), []
+            for some in runs_of(batch, 1):
+                rows = []
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for doc_id, ids in zip(some.column(0).to_pylist(), word_ids(tokenizer, texts)):
                     ids = memoryview(ids + end)

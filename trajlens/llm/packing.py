@@ -22,13 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.wordpieces import word_ids
+from trajlens.llm.wordpieces import runs_of, word_ids
 from trajlens.session import durable
 
 #: Pieces a task chooses from.
 POOL = 256
-#: Texts encoded at a time.
-TEXTS = 256
 #: Tasks whose unfinished sequences are packed together.
 TAILS = 32
 
@@ -172,8 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits = Limi
 
         def pieces() -> Iterator[Piece]:
             for batch in batches:
-                for at in range(0, batch.num_rows, TEXTS):
-                    some = batch.slice(at, TEXTS)
+                for some in runs_of(batch, 1):
                     texts = [t or "" for t in some.column(1).to_pylist()]
                     for doc_id, skip, ids in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), word_ids(tokenizer, texts)):
                         ids += end
